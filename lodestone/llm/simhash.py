@@ -85,7 +85,8 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
         left = nodes.select("rotation", F.col("up").alias("a"), F.col("node").alias("a2"), F.col("n").alias("n2"))
         right = nodes.select("rotation", F.col("up").alias("b"), F.col("node").alias("b2"))
         down = pairs.join(left, ["rotation", "a"]).join(right, ["rotation", "b"])
-        d = F.col("d") + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+        new = F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << (depth - above)) - 1))
+        d = F.col("d") + F.bit_count(new)
         down = down.where(d <= budget).where((F.col("a") != F.col("b")) | (F.col("a2") < F.col("b2")) | ((F.col("a2") == F.col("b2")) & (F.col("n2") > 1)))
         pairs = down.select("rotation", F.col("a2").alias("a"), F.col("b2").alias("b"), d.alias("d"))
     back = pairs
