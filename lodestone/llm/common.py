@@ -90,7 +90,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             least.select("u", F.col("m").alias("v"))
         )
         pairs = materialize(small.where("u <> v").distinct(), label)
-        now = pairs.agg(F.count("*"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == seen:
             break
         seen = now
