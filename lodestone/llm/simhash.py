@@ -44,12 +44,13 @@ def _fingerprints(batches):
     for batch in slices(batches):
         found = [fingerprint(text.encode()) for text in batch.column("text").to_pylist()]
         signed = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), signed], ["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
-    return documents_of(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, key (hash of the text) and fp, the fingerprint as a signed long, of every row."""
+    keyed = documents_of(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return keyed.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def _prefix(depth: int):
@@ -96,17 +97,9 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
     return back.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and n_links of every row.
-
-    Rows of equal fingerprints are one leaf of the trie, named by its smallest doc_id; leaves within ``budget``
-    bits are linked (n_links: leaves linked to the row's own), and component_id is the smallest doc_id reachable.
-    Copies are never expanded to pairs, and no link between different fingerprints is lost.
-
-    Null, empty and wordless texts have fingerprint zero and link to each other like any others. A row with a null
-    doc_id keeps its fingerprint and takes its leaf's component; a component without any id has a null id. Repeated
-    rows and repeated ids stay as they are. Further columns are ignored; an empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and for each distinct one: its component (one of its fingerprints), the smallest doc_id
+    of the component (null without any) and the number of fingerprints linked to it."""
     prints = materialize(fingerprints(docs), "simhash")
     leaves = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     # Leaves are numbered by their fingerprints, whose order does not follow the ids: components need the least id.
@@ -116,10 +109,41 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     least = parts.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     linked = parts.join(least, "component").join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node")
-    found = leaves.join(linked.select(F.col("node").alias("fp"), "component_id", "n_links"), "fp", "left")
-    found = found.select(
-        "fp", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    linked = linked.select(F.col("node").alias("fp"), "component", "component_id", "n_links")
+    found = leaves.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+    return prints, found
+
+
+def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and n_links of every row.
+
+    Rows of equal fingerprints are one leaf of the trie; leaves within ``budget`` bits are linked (n_links: leaves
+    linked to the row's own), and component_id is the smallest doc_id reachable. Copies are never expanded to pairs,
+    and no link between different fingerprints is lost.
+
+    Null, empty and wordless texts have fingerprint zero and link to each other like any others. A row with a null
+    doc_id keeps its fingerprint and takes its component; a component without any id has a null id. Repeated
+    rows and repeated ids stay as they are. Further columns are ignored; an empty table gives no rows.
+    """
+    prints, found = _grouped(docs, budget)
     return prints.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
+
+
+def representatives(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates: that of the smallest doc_id, nulls last; among rows
+    of that id the text of least hash, and one of equal rows. All columns stay."""
+    prints, found = _grouped(docs, budget)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
+    kept = prints.join(found.select("fp", "component"), "fp").groupBy("component").agg(F.min(order).alias("row"))
+    kept = kept.select(F.col("row.none").alias("__none"), F.col("row.id").alias("__id"), F.col("row.key").alias("__key"))
+    keyed = docs.withColumns({
+        "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        "__key": F.xxhash64(F.coalesce("text", F.lit(""))),
+    })
+    on = ["__id", "__key", "__none"]
+    return keyed.join(kept, on, "left_semi").dropDuplicates(on).drop(*on)
