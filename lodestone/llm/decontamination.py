@@ -136,9 +136,9 @@ def _prepared(docs: DataFrame, items: DataFrame):
 def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Hash join of document and item windows, judged for each (doc_id, item_id).
 
-    Windows of one document and item on one diagonal fill the item's slots: a slot is consistent if every slot of its
-    kind that holds the same value in the item holds one value in the document as well, be it another one. All groups
-    are bounded by the length of an item and how often it recurs in the document.
+    Windows of one document and item on one diagonal fill the item's slots. Slots of one kind and value in the item are
+    consistent with each other where the document has one value for them too, be it another one: of those that differ,
+    the largest part counts. All groups are bounded by the length of an item and how often it recurs in the document.
     """
     left = windows.select(F.col("id").alias("doc_id"), "h", "size", F.col("start").alias("at"), F.col("slots").alias("theirs"))
     right = items.select(F.col("id").alias("item_id"), "h", "size", "start", "n", "slots")
@@ -151,8 +151,14 @@ def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
         F.collect_set(F.struct("start", "size")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
         F.min("at").alias("first"),
     )
-    fits = F.filter("pairs", lambda p: ~F.exists("pairs", lambda q: (q.kind == p.kind) & (q.a == p.a) & (q.b != p.b)))
     same = F.filter("pairs", lambda p: p.a == p.b)
+    alike = lambda p, q: (q.kind == p.kind) & (q.a == p.a)
+    counted = F.transform(
+        "pairs", lambda p: F.struct(p.kind.alias("kind"), p.a.alias("a"), p.b.alias("b"), F.size(F.filter("pairs", lambda q: alike(p, q) & (q.b == p.b))).alias("n"))
+    )
+    more = lambda p, q: (q.n > p.n) | ((q.n == p.n) & (q.b < p.b))
+    by_diagonal = by_diagonal.withColumn("counted", counted)
+    fits = F.filter("counted", lambda p: ~F.exists("counted", lambda q: alike(p, q) & (q.b != p.b) & more(p, q)))
     by_diagonal = by_diagonal.select(
         "doc_id", "item_id", "n", "starts", "first", F.size("pairs").alias("n_slots"), F.size(fits).alias("fit"), F.size(same).alias("same")
     )

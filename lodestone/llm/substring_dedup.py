@@ -77,16 +77,16 @@ SHAPE = Shape(WINDOW, GRAM, _words, _content, within=True)
 
 
 def _judge(block: Block) -> np.ndarray:
-    """Windows of equal anchor and hash are equal; all but the first of them are repeated."""
+    """Windows of equal anchor and hash are equal; all are repeated but the first place, which repeated rows share."""
     window = np.frombuffer(b"".join(block.content), dtype=np.uint64)
     run = block.run_of
-    start = block.start[run] + block.offset
-    order = np.lexsort((start, block.key[run], block.doc_id[run], block.h[run], window))
-    same = np.zeros(len(order), dtype=bool)
-    h = block.h[run][order]
-    same[1:] = (window[order][1:] == window[order][:-1]) & (h[1:] == h[:-1])
+    place = (block.doc_id[run], block.key[run], block.start[run] + block.offset)
+    order = np.lexsort((*place[::-1], block.h[run], window))
+    w, h = window[order], block.h[run][order]
+    new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]) if len(w) else np.empty(0, dtype=bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
     out = np.empty(len(order), dtype=bool)
-    out[order] = same
+    out[order] = np.logical_or.reduce([x[order] != x[order][first] for x in place])
     return out
 
 

@@ -104,7 +104,7 @@ def first_owners(texts: list[bytes], owner: np.ndarray, least: int = LEAST) -> l
     low = np.minimum.reduceat(owner[text_of], bounds)
     out = np.empty(len(array), dtype=np.int64)
     out[array] = np.repeat(low, np.diff(np.append(bounds, len(array))))
-    return [out[s : s + len(t) - least + 1] for s, t in zip(starts.tolist(), texts, strict=True)]
+    return [out[s : s + max(0, len(t) - least + 1)] for s, t in zip(starts.tolist(), texts, strict=True)]
 
 
 def _judge(block: Block) -> np.ndarray:
