@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +11,26 @@ from pyspark.sql import functions as F
 BITS = 27
 
 
+#: Words of a segment: what one group of the last step holds, and one row of what is collected.
+SEGMENT = 1 << 13
+
+
+def _segment(words: pa.Table) -> pa.Table:
+    bits = np.zeros(SEGMENT, dtype=np.uint64)
+    bits[words.column("word").to_numpy() % SEGMENT] = words.column("bits").to_numpy().view(np.uint64)
+    return pa.table({"segment": words.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
 def collect(hashes: DataFrame, column: str = "h", bits: int = BITS) -> np.ndarray:
-    """The bitmap of a long column, put together by Spark: at most 2^(bits - 6) words come to the driver."""
+    """The bitmap of a long column. Spark sets the bits of each word and puts words together in segments, so what comes
+    to the driver are at most 2^(bits - 6) / SEGMENT rows: the bitmap itself and no more."""
     at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumn("segment", F.shiftright("word", 13))
+    found = words.groupBy("segment").applyInArrow(_segment, "segment long, bits binary").collect()
+    out = np.zeros(max(SEGMENT, 1 << (bits - 6)), dtype=np.uint64)
+    for row in found:
+        out[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(row["bits"], dtype=np.uint64)
     return out
 
 

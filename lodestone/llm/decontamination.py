@@ -51,7 +51,7 @@ def canonical(word: str) -> tuple[int, str]:
 class _Tokens(dict):
     """62 bits of hash and 2 of kind for every word; placeholders of a kind are one token."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 17
 
     def __missing__(self, word: str) -> int:
         kind, form = canonical(word)

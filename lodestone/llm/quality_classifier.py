@@ -31,7 +31,7 @@ WORD_WEIGHT = 0.3
 class _Terms(dict):
     """The terms of a word, hashed: its shape (character classes, length, final mark) and its lower-case form."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 17
 
     def __missing__(self, word: str) -> int:
         kinds, last = [], ""
