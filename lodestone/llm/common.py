@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that nothing refers to any more. It does so when the driver collects
+    its garbage, which may be long after the next shuffle has been written beside them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents_of(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id (long) and whole text (null: empty), with the named further columns (null where absent)."""
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import slices, utf8_buffer
+from .common import materialize, release, slices, utf8_buffer
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -273,7 +273,9 @@ def _compared(batches, shape: Shape, judge: Callable[[Block], np.ndarray]):
 
 def intervals(texts: DataFrame, shape: Shape, judge: Callable[[Block], np.ndarray]) -> DataFrame:
     """Units of ``texts(doc_id, text)``, no nulls, covered by repeated windows: doc_id, key (hash of the text), and
-    the intervals [start, stop), which may touch and overlap. ``judge`` says which windows of a block are repeated."""
+    the intervals [start, stop), which may touch and overlap. ``judge`` says which windows of a block are repeated.
+
+    The intervals are written to the shared folder, and each pass lets go of its shuffle before the next one starts."""
     spark = texts.sparkSession
     counted = texts.mapInArrow(lambda b: _counted(b, shape), "h long, n long")
     # Dealt out as they come, in order: a task has each anchor once, so there is nothing to sum before.
@@ -282,9 +284,14 @@ def intervals(texts: DataFrame, shape: Shape, judge: Callable[[Block], np.ndarra
     repeated = spark.sparkContext.broadcast(bitmap.collect(counted))
     hot = spark.sparkContext.broadcast(bitmap.collect(counted.where("hot"), bits=HOT_BITS))
     counted.unpersist()
+    del counted
+    release(spark)
     sent = texts.mapInArrow(lambda b: _send(b, shape, repeated, hot), _SENT)
     sent = sent.repartition("h").sortWithinPartitions("h")
-    return sent.mapInArrow(lambda b: _compared(b, shape, judge), _FOUND)
+    found = materialize(sent.mapInArrow(lambda b: _compared(b, shape, judge), _FOUND), "repeats")
+    del sent
+    release(spark)
+    return found
 
 
 def merged(starts: list[dict] | None) -> list[tuple[int, int]]:
