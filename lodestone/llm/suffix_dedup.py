@@ -42,6 +42,31 @@ def _content(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: i
 SHAPE = Shape(LEAST, GRAM, _bytes, _content, within=False)
 
 
+def _bits(n: int) -> int:
+    """Bits of the places of n symbols."""
+    return max(1, (n - 1).bit_length())
+
+
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rank of each key (below 2^bits) among the distinct ones, the order of places by key, and the number of ranks.
+
+    Where key and place fit into one word, plain values are sorted: much faster than an indirect sort."""
+    place_bits = _bits(len(key))
+    if bits + place_bits <= 64:
+        packed = key.astype(np.uint64) << np.uint64(place_bits) | np.arange(len(key), dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        found = packed >> np.uint64(place_bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        found = key[order]
+    ranks = np.zeros(len(key), dtype=np.int64)
+    np.cumsum(found[1:] != found[:-1], out=ranks[1:])
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = ranks
+    return rank, order, int(ranks[-1]) + 1 if len(ranks) else 0
+
+
 def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of the texts end to end, each closed by an end mark of its own (marks sort first, in order of
     the texts); the symbols (0: an end mark, else byte + 1); and where each text starts."""
@@ -51,22 +76,24 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     inside = np.ones(len(symbols), dtype=bool)
     inside[starts + lengths] = False
     symbols[inside] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
-    # Ranks by 7 symbols (9 bits each), then by twice as many until the longest text is ranked whole; what lies
+    # Ranks by a few symbols (9 bits each), then by twice as many until the longest text is ranked whole; what lies
     # behind an end mark counts for nothing, and suffixes that are equal up to their marks stay in order.
     left = np.repeat(starts + lengths, lengths + 1) - np.arange(len(symbols))  # symbols before the mark
-    padded = np.append(symbols, np.zeros(7, dtype=np.int64))
-    packed = np.zeros(len(symbols), dtype=np.int64)
-    for j in range(7):
-        packed = packed << 9 | np.where(left >= j, padded[j : j + len(symbols)], 0)
-    rank = np.unique(packed, return_inverse=True)[1]
-    width, longest = 7, int(lengths.max(initial=0)) + 1
-    while width < longest:
+    place_bits = _bits(len(symbols))
+    width = max(1, min(7, (64 - place_bits) // 9))
+    padded = np.append(symbols, np.zeros(width, dtype=np.int64))
+    key = np.zeros(len(symbols), dtype=np.int64)
+    for j in range(width):
+        key = key << 9 | np.where(left >= j, padded[j : j + len(symbols)], 0)
+    rank, order, distinct = _ranked(key, 9 * width)
+    longest = int(lengths.max(initial=0)) + 1
+    while width < longest and distinct < len(rank):
         ahead = np.zeros(len(rank), dtype=np.int64)
         reach = left >= width
         ahead[reach] = rank[np.flatnonzero(reach) + width] + 1
-        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1]
+        rank, order, distinct = _ranked(rank << place_bits + 1 | ahead, 2 * place_bits + 1)
         width *= 2
-    return np.argsort(rank, kind="stable"), symbols, starts
+    return order, symbols, starts
 
 
 def interval_bounds(array: np.ndarray, symbols: np.ndarray, least: int) -> np.ndarray:
@@ -79,7 +106,7 @@ def interval_bounds(array: np.ndarray, symbols: np.ndarray, least: int) -> np.nd
     the least shared by any neighbours between q' and q. So rank i gets its bound in the round after the first bound
     in (q', q] was found; at ``least`` the expansion stops, and what has no bound by then shares at least that many.
     """
-    transform = symbols[array - 1]
+    transform = symbols[array - 1].astype(np.uint16)
     back = np.argsort(transform, kind="stable")  # rank -> place of its first symbol in the transform
     first = transform[back]
     bound = np.ones(len(array), dtype=bool)
@@ -87,7 +114,7 @@ def interval_bounds(array: np.ndarray, symbols: np.ndarray, least: int) -> np.nd
     open_ = np.flatnonzero(~bound)
     q, before = back[open_], back[open_ - 1]
     for _ in range(1, least):
-        found = np.cumsum(bound)
+        found = np.cumsum(bound, dtype=np.int32 if len(bound) < 1 << 31 else np.int64)
         met = found[q] != found[before]
         if not met.any():
             break
