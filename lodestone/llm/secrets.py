@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -64,12 +65,22 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def further_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int, str]]:
-    """Candidates of other shapes that overlap no base span: (kind, start, end, value)."""
+    """Candidates of other shapes that overlap no span in ``taken`` and none found before: (kind, start, end, value)."""
     found = []
+    starts: list[int] = []  # of disjoint stretches, in order, and their ends
+    ends: list[int] = []
+    for start, end in sorted(taken):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
 
     def add(kind: str, start: int, end: int, value: str) -> None:
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
+        k = bisect.bisect_right(ends, start)
+        if k == len(starts) or end <= starts[k]:
+            starts.insert(k, start)
+            ends.insert(k, end)
             found.append((kind, start, end, value))
 
     for kind, mark, pattern in SHAPES:
