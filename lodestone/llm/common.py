@@ -38,8 +38,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files of plans that nothing refers to any more. It does so when the driver collects
-    its garbage, which may be long after the next shuffle has been written beside them."""
+    its garbage, which may be long after the next shuffle has been written beside them. Spark's listeners hold on to
+    the query that ended last, so a query of one row ends first."""
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
