@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh temporary one where the session names none (tests, local runs)."""
+    """The folder all executors share. Where the session names none, a local master gets a fresh temporary one (tests);
+    on a cluster, whose executors would each write to a disk of their own, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -52,11 +55,6 @@ def documents_of(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(*cols)
 
 
-def text_key():
-    """A row's identity where doc_id may repeat: its id and the digest of its text."""
-    return F.md5(F.col("text"))
-
-
 def utf8_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and the n + 1 offsets of its rows in them."""
     column = column.cast(pa.large_string())

@@ -32,7 +32,7 @@ HOT, HOT_BITS = 1000, 24
 #: Anchors that a task gathers before it counts them, and runs that it remembers to send equal ones once.
 GATHER, REMEMBER = 1 << 21, 200_000
 #: Bytes of text that are hashed at once, and rows and bytes compared at once.
-SLICE, BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 60_000, 3 << 19
+SLICE, BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 20_000, 1 << 20
 
 Units = Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 

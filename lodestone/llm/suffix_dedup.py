@@ -14,7 +14,8 @@ from .common import documents_of, slices
 from .repeats import Block, Shape, intervals, merged
 
 LEAST = 50
-GRAM = 16
+#: Longer grams are shared by chance less often, so fewer texts reach the arrays; shorter ones make fewer runs.
+GRAM = 24
 #: Byte positions that are hashed at once; longer texts come in pieces that overlap by a window.
 PIECE = 1 << 20
 NULL_ID = (1 << 63) - 1
@@ -127,15 +128,16 @@ def first_owners(texts: list[bytes], owner: np.ndarray, least: int = LEAST) -> l
     """For each text and each of its strings of ``least`` bytes: the least owner of a text that holds this string."""
     array, symbols, starts = suffix_array(texts)
     bounds = np.flatnonzero(interval_bounds(array, symbols, least))
-    text_of = np.searchsorted(starts, array, "right") - 1
-    low = np.minimum.reduceat(owner[text_of], bounds)
+    owner_at = np.repeat(owner, np.diff(np.append(starts, len(symbols))))
+    low = np.minimum.reduceat(owner_at[array], bounds)
     out = np.empty(len(array), dtype=np.int64)
     out[array] = np.repeat(low, np.diff(np.append(bounds, len(array))))
     return [out[s : s + max(0, len(t) - least + 1)] for s, t in zip(starts.tolist(), texts, strict=True)]
 
 
 def _judge(block: Block) -> np.ndarray:
-    """Equal runs are one text, owned by the least document; texts that are alone with their anchor need no array."""
+    """Equal runs are collapsed to one text, owned by the least of their documents. A text that is then alone with its
+    anchor shares no window with another one; for all others the intervals decide."""
     number: dict[bytes, int] = {}
     text = np.fromiter((number.setdefault(c, len(number)) for c in block.content), dtype=np.int64, count=len(block.n))
     owner = np.full(len(number), NULL_ID, dtype=np.int64)
