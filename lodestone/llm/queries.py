@@ -58,5 +58,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Windows of 50 bytes by the first document that holds them, as hexadecimal text.
+OP5_SQL = """
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT doc_id, x, unnest(range(1, CAST(length(x) / 2 AS BIGINT) + 1)) AS i FROM d),
+windows AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 100)) AS w, substr(x, 2 * i - 1, 2) AS b, 2 * i + 98 <= length(x) AS whole FROM places),
+owned AS (SELECT doc_id, i, b, whole AND doc_id > min(doc_id) OVER (PARTITION BY w) AS again FROM windows),
+covered AS (
+  SELECT doc_id, i, b, coalesce(max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM owned),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM covered),
+kept AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS left_over
+  FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(left_over, ''))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+#: Windows of 20 words, numbered by their places.
+OP9_SQL = r"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+windows AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN md5(array_to_string(ws[i:i+19], ' ')) END AS w FROM places),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows),
+covered AS (
+  SELECT doc_id, i, word,
+    coalesce(max(CASE WHEN w IS NOT NULL AND nth > 1 THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM numbered),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS left_over
+  FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_suffix_dedup": OP5_SQL, "op9_substring_dedup": OP9_SQL}

@@ -1,14 +1,15 @@
 """Finding repeated fixed-length windows of a corpus, of bytes or of words: what suffix and substring dedup share.
 
 Every window has one anchor: its gram (a shorter window in it) of least hash, the first of equals. Equal windows have
-equal anchors, so windows whose anchor occurs once cannot repeat and are never moved. First pass: count anchors in
-Spark. Second pass: runs of neighbouring windows with the same anchor travel as one row, to the partition of their
-anchor, where the operator compares windows exactly. What it finds goes back as intervals of each document.
-
-The anchors' counts reach the second pass as bitmaps of one size at every input (``bitmap.BITS``); where they fill up,
-more windows travel and the results stay the same. An anchor met in very many contexts is no hot key: its runs are cut
-in two, by the units before and after it that their windows contain as well, and keyed by these too. Within a task,
-equal runs are sent once.
+equal anchors, so windows whose anchor occurs once cannot repeat and are never moved: ``repeated_anchors`` counts anchors
+in Spark. Suffix dedup then sends runs of neighbouring windows with the same anchor as one row, to the partition of
+their anchor, and compares them there (``intervals``); substring dedup sends the hashes of the windows.
+
+The anchors' counts reach the second pass as bitmaps of one size at every input (``bitmap.BITS``, a parameter of
+``repeated_anchors``). They prune while repeated anchors are few against its 2^27 bits: up to some 10^8 distinct ones,
+which is about 100 GB of text like that of the tests; beyond, more windows travel and the results stay the same. An
+anchor met in very many contexts is no hot key: its runs are cut in two, by the units before and after it that their
+windows contain as well, and keyed by these too. Within a task, equal runs are sent once.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import materialize, release, slices, utf8_buffer
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Bits of an anchor's hash that are counted: enough for the bitmaps, and fewer bytes to shuffle.
+COUNTED = 40
 #: Occurrences from which an anchor's runs are cut by their context, and the bits of the bitmap of such anchors.
 HOT, HOT_BITS = 1000, 24
 #: Anchors that a task gathers before it counts them, and runs that it remembers to send equal ones once.
@@ -48,9 +51,7 @@ class Shape:
     window: int
     gram: int
     units: Units
-    content: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[bytes]]
-    #: Whether a window counts as repeated by an earlier one of its own document.
-    within: bool
+    content: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[bytes]] | None = None
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -116,7 +117,7 @@ def _counted(batches, shape: Shape):
 
     for _, data, offsets in _text_slices(batches):
         for t, off, *_ in shape.units(data, offsets):
-            held.append(runs(t, off, shape.window, shape.gram)[3])
+            held.append(runs(t, off, shape.window, shape.gram)[3] & np.uint64((1 << COUNTED) - 1))
             size += len(held[-1])
         if size >= GATHER:
             yield flush()
@@ -182,7 +183,7 @@ def _send(batches, shape: Shape, repeated, hot):
             for h, row, start, n, held in zip(anchors.view(np.int64).tolist(), rows[piece].tolist(), begin.tolist(), counts.tolist(), content, strict=True):
                 me = (ids[row], keys[row], start)
                 first = seen.get(held)
-                if first is not None and (first < me if shape.within else first[0] < me[0]):
+                if first is not None and first[0] < me[0]:
                     out.append((keys[row], *me, n, None))
                 else:
                     seen[held] = me
@@ -271,26 +272,33 @@ def _compared(batches, shape: Shape, judge: Callable[[Block], np.ndarray]):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged], _FOUND_NAMES)
 
 
-def intervals(texts: DataFrame, shape: Shape, judge: Callable[[Block], np.ndarray]) -> DataFrame:
-    """Units of ``texts(doc_id, text)``, no nulls, covered by repeated windows: doc_id, key (hash of the text), and
-    the intervals [start, stop), which may touch and overlap. ``judge`` says which windows of a block are repeated.
-
-    The intervals are written to the shared folder, and each pass lets go of its shuffle before the next one starts."""
+def repeated_anchors(texts: DataFrame, shape: Shape, bits: int = bitmap.BITS):
+    """Broadcast bitmaps of the anchors of ``texts(doc_id, text)`` that occur twice or more, and of those that occur
+    HOT times or more; 2^``bits`` and 2^HOT_BITS bits, whatever the input."""
     spark = texts.sparkSession
     counted = texts.mapInArrow(lambda b: _counted(b, shape), "h long, n long")
     # Dealt out as they come, in order: a task has each anchor once, so there is nothing to sum before.
     counted = counted.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     counted = counted.select("h", (F.col("n") >= HOT).alias("hot")).persist()
-    repeated = spark.sparkContext.broadcast(bitmap.collect(counted))
+    repeated = spark.sparkContext.broadcast(bitmap.collect(counted, bits=bits))
     hot = spark.sparkContext.broadcast(bitmap.collect(counted.where("hot"), bits=HOT_BITS))
     counted.unpersist()
     del counted
     release(spark)
+    return repeated, hot
+
+
+def intervals(texts: DataFrame, shape: Shape, judge: Callable[[Block], np.ndarray]) -> DataFrame:
+    """Units of ``texts(doc_id, text)``, no nulls, covered by repeated windows: doc_id, key (hash of the text), and
+    the intervals [start, stop), which may touch and overlap. ``judge`` says which windows of a block are repeated.
+
+    The intervals are written to the shared folder, and each pass lets go of its shuffle before the next one starts."""
+    repeated, hot = repeated_anchors(texts, shape)
     sent = texts.mapInArrow(lambda b: _send(b, shape, repeated, hot), _SENT)
     sent = sent.repartition("h").sortWithinPartitions("h")
     found = materialize(sent.mapInArrow(lambda b: _compared(b, shape, judge), _FOUND), "repeats")
     del sent
-    release(spark)
+    release(texts.sparkSession)
     return found
 
 

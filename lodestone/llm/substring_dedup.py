@@ -1,4 +1,4 @@
-"""Substring dedup: Rabin-Karp hashes of every window of words that may recur, compared in Spark's partitions."""
+"""Substring dedup: Rabin-Karp hashes of the windows of words, counted in Spark; repeated windows merge to intervals."""
 
 from __future__ import annotations
 
@@ -6,15 +6,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, slices
-from .repeats import Block, Shape, intervals, merged, mixed
+from . import bitmap
+from .common import documents_of, slices, utf8_buffer
+from .repeats import SLICE, Shape, merged, mixed, repeated_anchors, runs, text_hash
 from .suffix_dedup import NULL_ID, with_spans
 
 WINDOW = 20
+#: Words of an anchor: a window whose anchor the corpus holds once occurs once itself, so its hash is not sent.
 GRAM = 10
+#: Windows among which a task looks for equal ones before it sends them.
+GATHER = 1 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
@@ -60,40 +64,90 @@ def _words(data: np.ndarray, offsets: np.ndarray):
 def rabin_karp(t: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The rolling hash of every window of word hashes."""
     n = len(t) - window + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
     power, inverse = _powers(len(t) + 1)
     sums = np.zeros(len(t) + 1, dtype=np.uint64)
     np.cumsum(t * power[: len(t)], dtype=np.uint64, out=sums[1:])
     return mixed((sums[window:] - sums[:n]) * inverse[:n])
 
 
-def _content(t: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int) -> list[bytes]:
-    if not len(starts):
-        return []
-    raw = rabin_karp(t, window).tobytes()
-    return [raw[8 * s : 8 * e] for s, e in zip(starts.tolist(), (starts + counts).tolist(), strict=True)]
-
-
-SHAPE = Shape(WINDOW, GRAM, _words, _content, within=True)
-
-
-def _judge(block: Block) -> np.ndarray:
-    """Windows of equal anchor and hash are equal; all are repeated but the first place, which repeated rows share."""
-    window = np.frombuffer(b"".join(block.content), dtype=np.uint64)
-    run = block.run_of
-    place = (block.doc_id[run], block.key[run], block.start[run] + block.offset)
-    order = np.lexsort((*place[::-1], block.h[run], window))
-    w, h = window[order], block.h[run][order]
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]) if len(w) else np.empty(0, dtype=bool)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    out = np.empty(len(order), dtype=bool)
-    out[order] = np.logical_or.reduce([x[order] != x[order][first] for x in place])
-    return out
+SHAPE = Shape(WINDOW, GRAM, _words)
+
+_SENT = "h long, h2 long, doc_id long, key long, start int, stop int"
+_NAMES = [part.split()[0] for part in _SENT.split(", ")]
+
+
+def _places(batches, repeated):
+    """Arrays of h, h2, doc_id, key and start of the windows that may recur, by slices of the texts. The two hashes are
+    those of the words' hashes and of a mixture of them, so windows of equal h and h2 are equal."""
+    for batch in slices(batches, size=SLICE):
+        data, offsets = utf8_buffer(batch.column("text"))
+        t, off = word_hashes(data, offsets)
+        starts, counts, _, anchors = runs(t, off, WINDOW, GRAM)
+        kept = bitmap.has(repeated.value, anchors)
+        starts, counts = starts[kept], counts[kept]
+        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        row = np.searchsorted(off, at, "right") - 1
+        ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
+        ends = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        keys = np.array([text_hash(data[a:b].tobytes()) for a, b in ends], dtype=np.int64)
+        yield rabin_karp(t)[at].view(np.int64), rabin_karp(mixed(t + _BASE))[at].view(np.int64), ids[row], keys[row], at - off[row]
+
+
+def _firsts(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Of windows that these slices hold more than once the first one, to be counted in Spark (stop: null). The others
+    are repeated whatever Spark finds: their intervals, spread over the keys."""
+    h, h2, doc, key, start = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((start, key, doc, h2, h))
+    h, h2, doc, key, start = (x[order] for x in (h, h2, doc, key, start))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.empty(0, dtype=np.int64)
+    again = np.flatnonzero((doc != doc[first]) | (key != key[first]) | (start != start[first]))
+    again = again[np.lexsort((start[again], key[again], doc[again]))]
+    d, k, s = doc[again], key[again], start[again]
+    cut = np.ones(len(again), dtype=bool)
+    cut[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] > s[:-1] + 1)
+    begin = np.flatnonzero(cut)
+    stop = s[np.append(begin[1:], len(s)) - 1] + 1 if len(s) else s
+    # As they stand in the texts: neighbours in a partition then share their document, which compresses well.
+    new = np.sort(order[new])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    new = back[new]
+    columns = [np.concatenate(x) for x in (
+        (h[new], k[begin] ^ s[begin]), (h2[new], d[begin]), (doc[new], d[begin]), (key[new], k[begin]), (start[new], s[begin]),
+    )]
+    stops = pa.array(np.concatenate([np.zeros(len(new), dtype=np.int64), stop]), pa.int32(), mask=np.arange(len(new) + len(stop)) < len(new))
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:4]), pa.array(columns[4], pa.int32()), stops], _NAMES)
+
+
+def _sent(batches, repeated):
+    held, size = [], 0
+    for found in _places(batches, repeated):
+        held.append(found)
+        size += len(found[0])
+        if size >= GATHER:
+            yield _firsts(held)
+            held, size = [], 0
+    if size:
+        yield _firsts(held)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key and intervals [start, stop) of words that earlier windows cover; they may overlap."""
+    """doc_id, key and intervals [start, stop) of words that earlier windows cover; they may overlap.
+
+    Window hashes are grouped in Spark and counted in the order of their places: all but the first are repeated. A task
+    sends an equal window once for each GATHER windows that it reads, so a very common passage is no hot group.
+    """
     texts = documents_of(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    return intervals(texts, SHAPE, _judge)
+    repeated, _ = repeated_anchors(texts, SHAPE)
+    sent = texts.mapInArrow(lambda b: _sent(b, repeated), _SENT)
+    number = F.rank().over(Window.partitionBy("h", "h2").orderBy("doc_id", "key", "start"))
+    found = sent.withColumn("number", number).where("stop is not null or number > 1")
+    stop = F.coalesce(F.col("stop"), F.col("start") + 1) + (WINDOW - 1)
+    return found.select("doc_id", "key", "start", stop.alias("stop"))
 
 
 def _cut(batches):

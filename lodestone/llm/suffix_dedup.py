@@ -15,7 +15,7 @@ from .repeats import Block, Shape, intervals, merged
 
 LEAST = 50
 #: Longer grams are shared by chance less often, so fewer texts reach the arrays; shorter ones make fewer runs.
-GRAM = 24
+GRAM = 20
 #: Byte positions that are hashed at once; longer texts come in pieces that overlap by a window.
 PIECE = 1 << 20
 NULL_ID = (1 << 63) - 1
@@ -40,7 +40,7 @@ def _content(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: i
     return [raw[s:e] for s, e in zip(starts.tolist(), (starts + counts + window - 1).tolist(), strict=True)]
 
 
-SHAPE = Shape(LEAST, GRAM, _bytes, _content, within=False)
+SHAPE = Shape(LEAST, GRAM, _bytes, _content)
 
 
 def _bits(n: int) -> int:

@@ -105,6 +105,7 @@ def test_hot_anchors_and_long_texts_in_pieces(documents, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     monkeypatch.setattr(repeats, "REMEMBER", 5)
     monkeypatch.setattr(repeats, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(substring_dedup, "GATHER", 50)
     check_bytes(documents(rows), rows)
     found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(documents(rows)).collect()}
     assert found == brute.word_dedup(rows)
