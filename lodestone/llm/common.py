@@ -55,6 +55,31 @@ def documents_of(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(*cols)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has such columns already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, size: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``facts``, which has each value of ``on`` once and says in ``size`` how many rows hold it.
+
+    Values with more than one in ``share`` of all rows, fewer than ``share`` of them, are broadcast, so the rows of a
+    very common value stay where they are; the others are shuffled. ``facts`` and ``rows`` are read more than once.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = facts.where(F.col(size) > total // share)
+    there = rows.join(F.broadcast(hot.drop(size)), on)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return there.unionByName(rest.join(facts.where(F.col(size) <= total // share).drop(size), on))
+
+
 def utf8_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and the n + 1 offsets of its rows in them."""
     column = column.cast(pa.large_string())

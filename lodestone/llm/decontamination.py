@@ -9,15 +9,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bitmap
-from .common import documents_of, materialize, slices
+from .common import documents_of, fresh, materialize, slices
 
-#: Template tokens of a window, and those of them that must be no placeholders (in shorter items all but a quarter).
+#: Template tokens of a window. One with fewer literals than LITERALS (in shorter items three quarters), so mostly
+#: of placeholders, would meet every table of numbers: it is looked up by its own words instead of its template.
 WINDOW, LITERALS = 8, 5
 #: Share of an item's tokens that windows must cover, and of its slots that must be filled consistently.
 COVERAGE, CONSISTENT = 0.6, 0.8
 
+#: Item windows that are broadcast at most, of some 1 KB; more meet the documents' windows in a shuffle.
+SMALL = 100_000
+
 LITERAL, NUMBER, NAME, UNIT = range(4)
 NUMERIC = re.compile(r"[+-]?[0-9][0-9.,:/]*%?(?:st|nd|rd|th)?|[+-]?[.,][0-9]+%?")
 # Number words and units.
@@ -49,13 +54,14 @@ def canonical(word: str) -> tuple[int, str]:
 
 
 class _Tokens(dict):
-    """62 bits of hash and 2 of kind for every word; placeholders of a kind are one token."""
+    """62 bits of hash and 2 of kind for every word, as a template's token (placeholders of a kind are one) and as itself."""
 
     LIMIT = 1 << 17
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, int]:
         kind, form = canonical(word)
-        found = xxhash.xxh64_intdigest(f"{kind}{'' if kind else form}") >> 2 << 2 | kind
+        own = xxhash.xxh64_intdigest(f"{kind}{form}") >> 2 << 2 | kind
+        found = (xxhash.xxh64_intdigest(f"{kind}") >> 2 << 2 | kind if kind else own, own)
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = found
@@ -65,30 +71,42 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def windows_of(words: list[str], sizes: tuple[int, ...], filled: np.ndarray | None = None) -> dict[int, np.ndarray]:
-    """Start -> hash of the template windows of each size with enough literals; with ``filled`` those in that bitmap."""
-    tokens = np.fromiter(map(_TOKENS.__getitem__, words), dtype=np.uint64, count=len(words))
-    literal = np.concatenate([[0], np.cumsum((tokens & np.uint64(3)) == LITERAL)])
+def _rolled(tokens: np.ndarray, size: int, seed: int) -> np.ndarray:
+    n = len(tokens) - size + 1
+    out = np.full(n, seed, dtype=np.uint64)
+    for j in range(size):
+        out = out * _BASE + tokens[j : j + n]
+    return out ^ (out >> np.uint64(29))
+
+
+def windows_of(words: list[str], sizes: tuple[int, ...], filled: np.ndarray | None = None) -> dict[int, list[list[int]]]:
+    """For each size, [start, hash] of every window: of its template, or of its own words where it has too few literals.
+    With ``filled`` those in that bitmap."""
+    both = np.array([_TOKENS[w] for w in words], dtype=np.uint64).reshape(-1, 2)
+    template, own = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+    literal = np.concatenate([[0], np.cumsum((template & np.uint64(3)) == LITERAL)])
     out = {}
     for size in sizes:
-        n = len(words) - size + 1
-        if n < 1:
+        if len(words) < size or not size:
             continue
-        found = np.full(n, size, dtype=np.uint64)
-        for j in range(size):
-            found = found * _BASE + tokens[j : j + n]
-        found ^= found >> np.uint64(29)
         least = LITERALS if size == WINDOW else -(-3 * size // 4)
-        kept = literal[size:] - literal[:-size] >= least
-        if filled is not None:
-            kept &= bitmap.has(filled, found)
-        at = np.flatnonzero(kept)
-        out[size] = np.column_stack([at.astype(np.uint64), found[at]])
+        few = literal[size:] - literal[:-size] < least
+        found = _rolled(template, size, size)
+        if few.any():
+            found = np.where(few, _rolled(own, size, size + WINDOW), found)
+        at = np.flatnonzero(bitmap.has(filled, found)) if filled is not None else np.arange(len(found))
+        out[size] = list(zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True))
     return out
 
 
 _SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
-_WINDOWS = "id long, n int, start int, size int, h long, slots array<struct<at int, kind int, value string>>"
+_HIT = pa.struct([("n", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(_SLOT))])
+_HIT_FIELDS = ("n", "start", "size", "h", "slots")
+_HITS = T.ArrayType(
+    T.StructType().add("n", T.IntegerType()).add("start", T.IntegerType()).add("size", T.IntegerType()).add("h", T.LongType()).add(
+        "slots", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("kind", T.IntegerType()).add("value", T.StringType()))
+    )
+)
 
 
 def _slots(words: list[str], start: int, size: int) -> list[dict]:
@@ -100,31 +118,35 @@ def _slots(words: list[str], start: int, size: int) -> list[dict]:
     return out
 
 
-def _emit(batches, sizes, filled):
+def _hits(batches, name: str, sizes, filled, keep_text: bool):
+    """The rows with their windows (those in the bitmap, if there is one) in a further column."""
     for batch in slices(batches):
-        ids, ns, starts, lengths, hashes, slots = [], [], [], [], [], []
-        for row, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = text.split()
+        found = []
+        for text in batch.column("text").to_pylist():
+            words = (text or "").split()
             own = sizes or (min(WINDOW, len(words)),)
-            for size, found in windows_of(words, own, filled and filled.value).items() if words else ():
-                for start, h in found.tolist():
-                    ids.append(row)
-                    ns.append(len(words))
-                    starts.append(start)
-                    lengths.append(size)
-                    hashes.append(h)
-                    slots.append(_slots(words, start, size))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()),
-             pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(slots, pa.list_(_SLOT))],
-            ["id", "n", "start", "size", "h", "slots"],
-        )
+            at = windows_of(words, own, filled and filled.value) if words else {}
+            found.append([
+                {"n": len(words), "start": start, "size": size, "h": h, "slots": _slots(words, start, size)}
+                for size, some in at.items() for start, h in some
+            ])
+        columns = [c for c in batch.schema.names if keep_text or c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.list_(_HIT))], [*columns, name])
+
+
+def _with_hits(rows: DataFrame, name: str, sizes=None, filled=None, keep_text: bool = False) -> DataFrame:
+    fields = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    return rows.mapInArrow(lambda b: _hits(b, name, sizes, filled, keep_text), T.StructType([*fields, T.StructField(name, _HITS)]))
+
+
+def _exploded(rows: DataFrame, name: str, *keys) -> DataFrame:
+    return rows.select(*keys, F.explode(name).alias("hit")).select("id", *[f"hit.{c}" for c in _HIT_FIELDS])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """The template windows of every benchmark item; an item of fewer than WINDOW words is one window."""
+    """The windows of every benchmark item; an item of fewer than WINDOW words is one window."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(items.mapInArrow(lambda b: _emit(b, None, None), _WINDOWS), "benchmark")
+    return materialize(_exploded(_with_hits(items, "hits"), "hits", "id"), "benchmark")
 
 
 def _prepared(docs: DataFrame, items: DataFrame):
@@ -146,6 +168,8 @@ def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
         "slots", "theirs",
         lambda a, b: F.struct((F.col("start") + a.at).alias("at"), a.kind.alias("kind"), a.value.alias("a"), b.value.alias("b")),
     )
+    if items.count() <= SMALL:
+        right = F.broadcast(right)  # so windows that very many documents hold stay where they are
     met = left.join(right, ["h", "size"]).withColumn("pairs", pair)
     by_diagonal = met.groupBy("doc_id", "item_id", "n", (F.col("at") - F.col("start")).alias("diagonal")).agg(
         F.collect_set(F.struct("start", "size")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
@@ -179,40 +203,38 @@ def _leaks(found: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, coverage, slots, verbatim.
+    """One row for each row of ``docs`` and item that it holds: doc_id, item_id, coverage, slots, verbatim.
 
-    Only windows in the items' bitmap leave the scan of the documents, whole texts included; the join on window
-    hashes, the coverage (COVERAGE) and the slots (CONSISTENT) decide. verbatim: every slot holds the item's own value.
+    Every window of every item is looked up. Only windows in the items' bitmap leave the scan of the documents, whole
+    texts included; the join on window hashes, the coverage (COVERAGE) and the slots (CONSISTENT) decide. verbatim:
+    every slot holds the item's own value.
 
-    Null, empty and short texts hold nothing; null and wordless items match nothing. Documents with a null doc_id give
-    rows with a null doc_id, as one document; repeated rows and rows of one doc_id count as one document; so do
-    items of one item_id. Further columns are ignored; an empty table on either side gives no rows.
+    Rows are judged one by one: repeated rows, rows of one doc_id and of none give rows of their own. Null, empty and
+    short texts hold nothing; null and wordless items match nothing; items of one item_id are one item. Further
+    columns are ignored; an empty table on either side gives no rows.
     """
     items = item_windows(benchmark)
     sizes, filled = _prepared(docs, items)
-    texts = documents_of(docs).withColumnRenamed("doc_id", "id")
-    return _leaks(matches(texts.mapInArrow(lambda b: _emit(b, sizes, filled), _WINDOWS), items))
-
-
-def _candidates(batches, sizes, filled, wanted: bool):
-    for batch in slices(batches):
-        texts = [(text or "").split() for text in batch.column("text").to_pylist()]
-        hit = [bool(words) and any(len(x) for x in windows_of(words, sizes, filled.value).values()) for words in texts]
-        yield batch.filter(pa.array([h == wanted for h in hit]))
+    texts = documents_of(docs).withColumn("id", F.monotonically_increasing_id())
+    hits = _with_hits(texts, "hits", sizes, filled).where(F.size("hits") > 0)
+    hits = materialize(hits, "leak-candidates")
+    leaks = _leaks(matches(_exploded(hits, "hits", "id"), items)).withColumnRenamed("doc_id", "id")
+    return hits.select("id", "doc_id").join(leaks, "id").drop("id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns of the others, null ids and texts included.
 
-    Documents without any window in the items' bitmap go straight through; only the others meet the join. Rows are
-    judged one by one, so rows of one doc_id do not share a verdict.
+    Each text is read once and written with its windows that are in the items' bitmap; rows without any go straight
+    through, and only the others meet the join. Rows are judged one by one, so rows of one doc_id do not share a
+    verdict. Further columns pass through, whatever their names; an empty table gives no rows.
     """
     items = item_windows(benchmark)
     sizes, filled = _prepared(docs, items)
-    clear = docs.mapInArrow(lambda b: _candidates(b, sizes, filled, False), docs.schema)
-    near = docs.mapInArrow(lambda b: _candidates(b, sizes, filled, True), docs.schema)
-    near = materialize(near.withColumn("__row", F.monotonically_increasing_id()), "leak-candidates")
-    texts = near.select(F.col("__row").alias("id"), "text")
-    leaks = _leaks(matches(texts.mapInArrow(lambda b: _emit(b, sizes, filled), _WINDOWS), items))
-    kept = near.join(leaks.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
-    return clear.select(docs.columns).unionByName(kept.select(docs.columns))
+    row, name = fresh(docs, "__row", "__hits")
+    held = _with_hits(docs, name, sizes, filled, keep_text=True).withColumn(row, F.monotonically_increasing_id())
+    held = materialize(held, "leak-candidates")
+    leaks = _leaks(matches(_exploded(held.where(F.size(name) > 0), name, F.col(row).alias("id")), items))
+    leaks = leaks.select(F.col("doc_id").alias(row)).distinct()
+    near = held.where(F.size(name) > 0).join(leaks, row, "left_anti")
+    return held.where(F.size(name) == 0).unionByName(near).select(docs.columns)

@@ -21,6 +21,8 @@ TIERS = (2048, 1024, 512, 256)
 POOL = 4096
 #: Tokens of one training step: a step group of tier T has STEP_TOKENS / T sequences.
 STEP_TOKENS = 8 * TIERS[0]
+#: Full step groups of a tier among which a task balances the cost at once.
+DEALT = 16
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
     " tier int, step_group long"
@@ -53,7 +55,8 @@ class Packer:
     first: int
     done: int = 0
     steps: int = 0
-    full: dict[int, list[list[Piece]]] = field(default_factory=dict)
+    #: Closed sequences by their length, as the rows of their pieces: the ids themselves are let go.
+    full: dict[int, list[list[tuple]]] = field(default_factory=dict)
     tails: list[Piece] = field(default_factory=list)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -64,7 +67,8 @@ class Packer:
             self.tails.append(Piece(doc_id, len(ids) - rest, ids[len(ids) - rest :], len(ids)))
 
     def _close(self, pieces: list[Piece]) -> None:
-        self.full.setdefault(sum(len(p.ids) for p in pieces), []).append(pieces)
+        rows = [(p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.doc_tokens) for p in pieces]
+        self.full.setdefault(sum(row[2] for row in rows), []).append(rows)
 
     def pack(self) -> None:
         """Every tail gets a window of its tier, longest first; shorter tails fill the gap, the last one by a cut.
@@ -108,27 +112,35 @@ class Packer:
                 size -= len(piece.ids)
             self._close(part)
 
-    def flush(self) -> pa.RecordBatch:
-        """The closed sequences as rows. In each tier they are dealt to step groups by falling attention cost (the
-        sum of squared piece lengths), back and forth, so that the groups of a tier cost alike."""
+    def flush(self, last: bool = False) -> pa.RecordBatch:
+        """Rows of whole step groups; other closed sequences wait for the next flush. In each tier, sequences are dealt to
+        groups by falling attention cost (the sum of squared piece lengths), back and forth, so that the groups cost
+        alike. At the ``last`` flush what is left of a tier is one smaller group."""
         rows: list[tuple] = []
         for tier, sequences in sorted(self.full.items(), reverse=True):
-            groups = -(-len(sequences) * tier // STEP_TOKENS)
-            cost = [-sum(len(p.ids) ** 2 for p in pieces) for pieces in sequences]
-            for rank, k in enumerate(sorted(range(len(sequences)), key=cost.__getitem__)):
+            size = max(1, STEP_TOKENS // tier)
+            groups = len(sequences) // size
+            if groups < DEALT and not last:
+                continue
+            dealt, self.full[tier] = sequences[: groups * size], sequences[groups * size :]
+            for rank, pieces in enumerate(sorted(dealt, key=lambda pieces: -sum(p[2] ** 2 for p in pieces))):
                 turn, at = divmod(rank, groups)
-                group = self.first + self.steps + (groups - 1 - at if turn % 2 else at)
-                offset = 0
-                for p in sequences[k]:
-                    crc = zlib.crc32(p.ids.tobytes())
-                    rows.append((p.doc_id, p.start, len(p.ids), crc, p.doc_tokens, self.first + self.done, offset, tier, group))
-                    offset += len(p.ids)
-                self.done += 1
+                self._number(rows, tier, self.steps + (groups - 1 - at if turn % 2 else at), pieces)
             self.steps += groups
-        self.full = {}
+            if last and self.full[tier]:
+                for pieces in self.full.pop(tier):
+                    self._number(rows, tier, self.steps, pieces)
+                self.steps += 1
         columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
+    def _number(self, rows: list[tuple], tier: int, group: int, pieces: list[tuple]) -> None:
+        offset = 0
+        for p in pieces:
+            rows.append((*p, self.first + self.done, offset, tier, self.first + group))
+            offset += p[2]
+        self.done += 1
+
 
 def _pack(batches, tiers: tuple[int, ...]):
     packer = Packer(tiers, TaskContext.get().partitionId() << 40)
@@ -139,7 +151,7 @@ def _pack(batches, tiers: tuple[int, ...]):
             packer.pack()
         yield packer.flush()
     packer.pack()
-    yield packer.flush()
+    yield packer.flush(last=True)
 
 
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
@@ -147,7 +159,8 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
 
     A document's ids are those of its whole text and a closing id. Full windows of the longest tier are cut off its
     front; the tail goes to the shortest tier that holds it. Each task packs what it reads: there is no shuffle, and
-    a task holds at most POOL tails. sequence_id and step_group are unique over tasks, whose input splits fix them.
+    a task holds at most POOL tails. Step groups are of one tier and of STEP_TOKENS tokens, but for a task's last one of
+    a tier, and a task balances DEALT or more of them at a time by their attention cost. sequence_id and step_group are unique over tasks, whose input splits fix them.
 
     Null and empty texts are packed as their closing id. Repeated rows and rows that share a doc_id are packed each
     for itself; a null doc_id stays null. Further columns are ignored. An empty table gives no rows.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents_of, materialize, slices
+from .common import documents_of, fresh, join_hot, materialize, slices
 
 # The base kinds in their listed order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -24,12 +24,13 @@ LEAST_ASSIGN = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-# Shapes of further credentials, looked for only where their cheap mark occurs.
+# Shapes of further credentials, looked for only where their cheap mark occurs. A match starts at the edge
+# of a run of its characters and gives nothing back, so the time is linear in the text.
 SHAPES = (
     ("github", "gh", re.compile(r"(?<![A-Za-z0-9])gh[opsur]_[A-Za-z0-9]{36,}")),
     ("google", "AIza", re.compile(r"AIza[0-9A-Za-z_-]{35}")),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("pem", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")),
+    ("pem", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")),
     ("slack", "xox", re.compile(r"xox[abeoprs]-[A-Za-z0-9-]{10,}")),
     ("stripe", "_live_", re.compile(r"(?<![A-Za-z0-9])[rs]k_live_[0-9A-Za-z]{16,}")),
     ("url", "://", re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{6,64})@")),
@@ -122,11 +123,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
     Three grouped steps, each with map-side sums: a value that very many documents hold is no hot task.
     """
-    once = candidates.groupBy("digest", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = once.groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
+    once = candidates.groupBy("digest", "owner", "repository").agg(F.count("*").alias("spans"))
+    by_owner = once.groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("spans").alias("spans"))
     return by_owner.groupBy("digest").agg(
         F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"),
-        F.max("repositories").alias("most_repositories"),
+        F.max("repositories").alias("most_repositories"), F.sum("spans").alias("n_spans"),
     )
 
 
@@ -147,7 +148,7 @@ def _spans(scanned: DataFrame) -> DataFrame:
 
 def _verdicts(spans: DataFrame) -> DataFrame:
     live = (F.col("n_owners") <= MOST_OWNERS) & (F.col("most_repositories") <= MOST_REPOSITORIES)
-    return ownership(spans).select("digest", "n_repositories", "n_owners", live.alias("live"))
+    return materialize(ownership(spans).select("digest", live.alias("live"), "n_spans"), "secrets-verdicts")
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     scanned = _scanned(docs, owner, repository)
     spans = _spans(scanned)
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
-    judged = spans.join(_verdicts(spans), "digest").groupBy("row").agg(
+    judged = join_hot(spans, _verdicts(spans), "digest", "n_spans").groupBy("row").agg(
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
         F.sort_array(
             F.collect_list(F.when(F.col("base") | F.col("live"), F.struct("start", rank.alias("rank"), "kind", "end")))
@@ -191,51 +192,55 @@ def _masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _mask(batches, mask: str):
-    """Rows without further candidates come out masked; the others with their candidates' digests."""
+_CUT = T.ArrayType(
+    T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("base", T.BooleanType()).add("digest", T.StringType())
+)
+_CUT_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("base", pa.bool_()), ("digest", pa.string())]))
+
+
+def _found(batches, name: str):
+    """The rows with what they hold: base spans, which need no verdict, and candidates of further shapes."""
     for batch in slices(batches):
-        texts, more = [], []
+        found = []
         for text in batch.column("text").to_pylist():
-            base = [(a, b) for a, _, b, _ in base_spans(text or "")]
-            further = further_spans(text or "", list(base))
-            more.append([hashlib.sha256(v.encode()).hexdigest() for *_, v in further])
-            texts.append(text if further or not base else _masked(text, base, mask))
-        k = batch.schema.get_field_index("text")
-        batch = batch.set_column(k, pa.field("text", pa.string()), pa.array(texts, pa.string()))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(more, pa.list_(pa.string()))], [*batch.schema.names, "__further"]
-        )
+            base = base_spans(text or "")
+            spans = [(a, b, v, True) for a, _, b, v in base]
+            spans += [(a, b, v, False) for _, a, b, v in further_spans(text or "", [(a, b) for a, _, b, _ in base])]
+            found.append([{"start": a, "stop": b, "base": own, "digest": hashlib.sha256(v.encode()).hexdigest()} for a, b, v, own in spans])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _CUT_ARROW)], [*batch.schema.names, name])
 
 
-def _mask_live(batches, mask: str):
+def _mask(batches, name: str, mask: str):
     for batch in slices(batches):
-        texts = []
-        for text, live in zip(batch.column("text").to_pylist(), batch.column("__live").to_pylist(), strict=True):
-            spans = [(a, b) for a, _, b, _ in base_spans(text)]
-            further = further_spans(text, list(spans))
-            live = set(live)
-            spans += [(a, b) for _, a, b, v in further if hashlib.sha256(v.encode()).hexdigest() in live]
-            texts.append(_masked(text, spans, mask))
+        texts = [
+            _masked(text, [(s["start"], s["stop"]) for s in spans], mask) if spans else text
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)
+        ]
         k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, pa.field("text", pa.string()), pa.array(texts, pa.string())).drop_columns(["__live"])
+        yield batch.set_column(k, pa.field("text", pa.string()), pa.array(texts, pa.string())).drop_columns([name])
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span that ``scan`` lists replaced by ``mask``: the same rows, columns and order of columns.
 
-    Only rows with candidates of further shapes are shuffled, to meet the verdicts on them; all others are masked
-    where they are read. Null and empty texts, null ids, repeated rows and further columns pass through unchanged.
+    Every text is scanned once and written with its spans. Only rows with candidates of further shapes are shuffled
+    then, to meet the verdicts on them; all others are masked where they are read. Null and empty texts, null ids,
+    repeated rows and further columns, whatever their names, pass through unchanged; an empty table gives no rows.
     """
-    verdicts = _verdicts(_spans(_scanned(docs, owner, repository)))
-    wider = T.StructType([*docs.schema.fields, T.StructField("__further", T.ArrayType(T.StringType()))])
-    passed = docs.mapInArrow(lambda b: _mask(b, mask), wider)
-    plain = passed.where(F.size("__further") == 0).drop("__further")
-    open_ = passed.where(F.size("__further") > 0).withColumn("__row", F.monotonically_increasing_id())
-    open_ = materialize(open_, "secrets-open")
-    live = verdicts.where("live").select(F.col("digest").alias("__digest"))
-    cuts = open_.select("__row", F.explode("__further").alias("__digest")).join(live, "__digest")
-    cuts = cuts.groupBy("__row").agg(F.collect_set("__digest").alias("__live"))
-    none = F.array().cast("array<string>")
-    joined = open_.join(cuts, "__row", "left").withColumn("__live", F.coalesce("__live", none)).drop("__row", "__further")
-    masked = joined.mapInArrow(lambda b: _mask_live(b, mask), docs.schema)
-    return plain.select(docs.columns).unionByName(masked.select(docs.columns))
+    row, name, kept = fresh(docs, "__row", "__spans", "__kept")
+    wider = T.StructType([*docs.schema.fields, T.StructField(name, _CUT)])
+    held = docs.mapInArrow(lambda b: _found(b, name), wider).withColumn(row, F.monotonically_increasing_id())
+    held = materialize(held, "secrets-held")
+    waits = F.exists(name, lambda s: ~s.base)
+    found = held.where(F.size(name) > 0).select(
+        F.col(row).alias("row"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.explode(name).alias("span"),
+    )
+    found = found.select("row", "owner", "repository", "span.*")
+    live = join_hot(found, _verdicts(found), "digest", "n_spans").where("live and not base")
+    live = live.groupBy(F.col("row").alias(row)).agg(F.collect_set("digest").alias(kept))
+    plain = held.where(~waits).drop(row)
+    open_ = held.where(waits).join(live, row, "left").withColumn(kept, F.coalesce(kept, F.array().cast("array<string>")))
+    cut = F.filter(name, lambda s: s.base | F.array_contains(kept, s.digest))
+    spans = plain.unionByName(open_.withColumn(name, cut).drop(row, kept))
+    return spans.mapInArrow(lambda b: _mask(b, name, mask), docs.schema).select(docs.columns)

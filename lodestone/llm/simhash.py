@@ -8,16 +8,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents_of, materialize, slices
+from .common import connected_components, documents_of, fresh, join_hot, materialize, slices
 
 SHINGLE = 3
 SEED = 42
 BUDGET = 2
 BITS = 64
-#: Depths at which the trie is visited. The first block is met exactly, see ``close_pairs``.
-DEPTHS = (21, 28, 35, 42, 49, 56, 64)
-#: Rotations bring disjoint blocks of DEPTHS[0] bits to the top; more blocks than the budget, so one agrees.
-ROTATIONS = (0, 21, 42)
+#: Levels of the trie that one step goes down: the children of a node are the bits of one long.
+STEP = 6
 
 
 def fingerprint(text: bytes) -> int:
@@ -48,73 +46,73 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text) and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, key (hash of the text) and fp, the fingerprint as a signed long, of every row, repeated rows included."""
     keyed = documents_of(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
     return keyed.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def _prefix(depth: int):
     """The trie node at ``depth`` above a leaf."""
-    return F.shiftrightunsigned("leaf", BITS - depth)
+    return F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
+
+
+def _children(leaves: DataFrame, depth: int, step: int) -> DataFrame:
+    """Each node at ``depth``: its children ``step`` levels below, as numbers and as bits, and those with two leaves."""
+    child = _prefix(depth + step).bitwiseAND(F.lit((1 << step) - 1)).cast("int")
+    counted = leaves.groupBy(_prefix(depth).alias("node"), child.alias("child")).agg(F.count("*").alias("n"))
+    bit = F.expr("shiftleft(1L, child)")
+    return counted.groupBy("node").agg(
+        F.collect_list("child").alias("children"), F.bit_or(bit).alias("there"), F.bit_or(F.when(F.col("n") > 1, bit).otherwise(0)).alias("many"),
+    )
 
 
 def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct ``keys(fp)`` that differ in 1 to ``budget`` (at most 2) bits.
-
-    The binary trie of the fingerprints is joined with itself from the top: a pair of nodes (a, b) stands for all pairs
-    of leaves under them and carries d, the bits in which their paths differ. Each visit goes some levels down, replaces
-    a pair by the pairs of the nodes below it and drops those with d over the budget, and nodes that would only meet
-    themselves: a subtree with one leaf. Of three blocks of bits, one agrees in any pair within a budget of 2; so the
-    join runs on three rotations of the fingerprints, each starting at pairs (a, a) below the first block. What goes on
-    from there is only what shares that whole block, and its count does not depend on how the leaves are dealt out.
+    """Pairs (a, b) of the distinct ``keys(fp)`` that differ in 1 to ``budget`` bits, with these bits' number d.
+
+    The binary trie of the fingerprints is joined with itself from its root: a pair of nodes (a, b) stands for all pairs
+    of leaves under them and carries d, the bits in which their paths differ. A step replaces it by the pairs of the
+    nodes STEP levels below whose d is within the budget, and drops a node that would only meet itself: a subtree of
+    one leaf. At depth t a node meets at most the nodes whose t bits differ by the budget, 1 + t + t (t - 1) / 2 for a
+    budget of 2, so no node is a hot key, however the leaves crowd; pairs are most where the trie gets sparse, at about
+    the logarithm of the number of leaves, and fall off below.
     """
-    if not 0 <= budget < len(ROTATIONS):
-        raise ValueError("a budget under the number of rotations")
-    turned = [
-        F.struct(F.lit(r).alias("rotation"), (F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", BITS - r)) if r else F.col("fp")).alias("leaf"))
-        for r in ROTATIONS
-    ]
-    leaves = keys.select("fp", F.explode(F.array(*turned)).alias("t")).select("t.*")
-    top = leaves.groupBy("rotation", _prefix(DEPTHS[0]).alias("a")).agg(F.count("*").alias("n")).where("n > 1")
-    top = top.select("rotation", "a")
-    # Subtrees of one leaf are gone from here on: what stays is small unless the fingerprints really crowd together.
-    leaves = leaves.withColumn("a", _prefix(DEPTHS[0])).join(top, ["rotation", "a"], "left_semi").select("rotation", "leaf")
-    leaves = materialize(leaves, "simhash-leaves")
-    pairs = top.select("rotation", "a", F.col("a").alias("b"), F.lit(0).alias("d"))
-    for above, depth in zip(DEPTHS, DEPTHS[1:], strict=False):
-        nodes = leaves.groupBy("rotation", _prefix(above).alias("up"), _prefix(depth).alias("node")).agg(F.count("*").alias("n"))
-        left = nodes.select("rotation", F.col("up").alias("a"), F.col("node").alias("a2"), F.col("n").alias("n2"))
-        right = nodes.select("rotation", F.col("up").alias("b"), F.col("node").alias("b2"))
-        down = pairs.join(left, ["rotation", "a"]).join(right, ["rotation", "b"])
-        new = F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << (depth - above)) - 1))
-        d = F.col("d") + F.bit_count(new)
-        down = down.where(d <= budget).where((F.col("a") != F.col("b")) | (F.col("a2") < F.col("b2")) | ((F.col("a2") == F.col("b2")) & (F.col("n2") > 1)))
-        pairs = down.select("rotation", F.col("a2").alias("a"), F.col("b2").alias("b"), d.alias("d"))
-    back = pairs
-    for name in ("a", "b"):
-        one = F.expr(f"case rotation " + " ".join(f"when {r} then shiftrightunsigned({name}, {r}) | shiftleft({name}, {BITS - r})" for r in ROTATIONS if r) + f" else {name} end")
-        back = back.withColumn(name, one)
-    return back.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
+    leaves = materialize(keys.select("fp"), "simhash-leaves")
+    pairs = keys.sparkSession.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("a", "b")], F.lit(0).alias("d"))
+    for depth in range(0, BITS, STEP):
+        step = min(STEP, BITS - depth)
+        near = [[e for e in range(1 << step) if e.bit_count() <= left] for left in range(budget + 1)]
+        change = F.array(*map(F.lit, near[budget]))
+        for d in range(1, budget + 1):
+            change = F.when(F.col("d") == d, F.array(*map(F.lit, near[budget - d]))).otherwise(change)
+        nodes = _children(leaves, depth, step)
+        met = pairs.join(nodes.select(F.col("node").alias("a"), "children", "many"), "a")
+        met = met.join(nodes.select(F.col("node").alias("b"), "there"), "b")
+        met = met.select("a", "b", "d", "many", "there", F.explode("children").alias("x"))
+        met = met.select("*", F.explode(change).alias("e")).withColumn("y", F.col("x").bitwiseXOR(F.col("e")))
+        met = met.where("shiftright(there, y) & 1 = 1 and (a <> b or x < y or (x = y and shiftright(many, x) & 1 = 1))")
+        below = [F.shiftleft(up, step).bitwiseOR(F.col(child).cast("long")).alias(up) for up, child in (("a", "x"), ("b", "y"))]
+        pairs = met.select(*below, (F.col("d") + F.bit_count("e")).cast("int").alias("d"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
 def _grouped(docs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """The rows' fingerprints, and for each distinct one: its component (one of its fingerprints), the smallest doc_id
-    of the component (null without any) and the number of fingerprints linked to it."""
+    of the component (null without any), the number of fingerprints linked to it and the number of its rows."""
     prints = materialize(fingerprints(docs), "simhash")
-    leaves = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    leaves = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"))
     # Leaves are numbered by their fingerprints, whose order does not follow the ids: components need the least id.
-    links = materialize(close_pairs(leaves.select("fp"), budget), "simhash-links")
+    links = materialize(close_pairs(leaves, budget), "simhash-links")
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-parts")
-    parts = materialize(parts.join(leaves.withColumnRenamed("fp", "node"), "node"), "simhash-members")
+    parts = materialize(parts.join(leaves.select(F.col("fp").alias("node"), "least_id"), "node"), "simhash-members")
     least = parts.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     linked = parts.join(least, "component").join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node")
     linked = linked.select(F.col("node").alias("fp"), "component", "component_id", "n_links")
     found = leaves.join(linked, "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_rows",
     )
-    return prints, found
+    return prints, materialize(found, "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -129,7 +127,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     rows and repeated ids stay as they are. Further columns are ignored; an empty table gives no rows.
     """
     prints, found = _grouped(docs, budget)
-    return prints.join(found, "fp").select(
+    return join_hot(prints, found, "fp", "n_rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
 
@@ -139,11 +137,11 @@ def representatives(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     of that id the text of least hash, and one of equal rows. All columns stay."""
     prints, found = _grouped(docs, budget)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
-    kept = prints.join(found.select("fp", "component"), "fp").groupBy("component").agg(F.min(order).alias("row"))
+    kept = prints.groupBy("fp").agg(F.min(order).alias("row")).join(found.select("fp", "component"), "fp")
+    kept = kept.groupBy("component").agg(F.min("row").alias("row"))
     kept = kept.select(F.col("row.none").alias("__none"), F.col("row.id").alias("__id"), F.col("row.key").alias("__key"))
-    keyed = docs.withColumns({
-        "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        "__key": F.xxhash64(F.coalesce("text", F.lit(""))),
-    })
-    on = ["__id", "__key", "__none"]
+    on = fresh(docs, "__none", "__id", "__key")
+    kept = kept.toDF(*on)
+    values = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumns(dict(zip(on, values, strict=True)))
     return keyed.join(kept, on, "left_semi").dropDuplicates(on).drop(*on)

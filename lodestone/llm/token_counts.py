@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, slices
+from .common import documents_of, materialize, slices
 from .encoding import encode
 
 #: Lengths to a block: suffix sums run inside blocks, then over the blocks' totals, so no window holds all lengths.
@@ -38,6 +38,7 @@ def length_histogram(docs: DataFrame) -> DataFrame:
         "n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("n_tokens_total"),
         F.floor(F.col("n_tokens") / BLOCK).alias("block"),
     )
+    counted = materialize(counted, "token-counts")  # small, and used twice below: texts are encoded once
     # A block has at most BLOCK rows and there are as many blocks as the longest document has BLOCK tokens.
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens_total").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,7 +79,8 @@ def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
-    """For each share in (0, 1]: the smallest encoded length that covers it. An empty corpus gives null."""
+    """For each share in (0, 1]: the smallest encoded length that covers it. Repeated rows
+    count as often as they occur; an empty corpus gives null."""
     share = histogram.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
     pairs = F.broadcast(share).join(histogram.select("n_tokens", "quantile"), F.col("quantile") >= F.col("share"), "left")
     return pairs.groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))

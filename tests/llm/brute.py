@@ -86,3 +86,27 @@ def rule_counts(text):
             repeated += line in seen
             seen.add(line)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(covered)
+
+
+def leak(text, item, canonical, window=8, literals=5, coverage=0.6, consistent=0.8):
+    """Whether a text holds an item: its windows that stand in the text, by template or, with few literals, by words."""
+    ws, its = text.split(), item.split()
+    size = min(window, len(its))
+    if not size:
+        return False
+    least = literals if size == window else -(-3 * size // 4)
+    a, b = [canonical(w) for w in its], [canonical(w) for w in ws]
+    found, covered = {}, set()
+    for i in range(len(its) - size + 1):
+        few = sum(not k for k, _ in a[i : i + size]) < least
+        for j in range(len(ws) - size + 1):
+            pairs = list(zip(a[i : i + size], b[j : j + size], strict=True))
+            if all(p[0] == q[0] and (p[1] == q[1] or p[0] and not few) for p, q in pairs):
+                covered |= set(range(i, i + size))
+                found.setdefault(j - i, set()).update((i + k, p[0], p[1], q[1]) for k, (p, q) in enumerate(pairs) if p[0])
+    slots = fit = 0
+    for pairs in found.values():
+        slots += len(pairs)
+        for kind, value in {p[1:3] for p in pairs}:
+            fit += max(Counter(p[3] for p in pairs if p[1:3] == (kind, value)).values())
+    return len(covered) >= coverage * len(its) and fit >= consistent * slots

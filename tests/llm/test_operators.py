@@ -1,7 +1,9 @@
 """Token counts, secrets, main text, classifier, rules, decontamination, packing and the pipeline."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -73,6 +75,25 @@ def test_packing(documents, tokenizer, table):
     for pieces in by.values():
         steps.setdefault((pieces[0]["tier"], pieces[0]["step_group"]), []).append(sum(p["length"] for p in pieces))
     assert all(sum(lengths) <= packing.STEP_TOKENS for lengths in steps.values())
+    short = Counter((tier, group >> 40) for (tier, group), lengths in steps.items() if sum(lengths) < packing.STEP_TOKENS)
+    assert all(n == 1 for n in short.values()), "a task's groups of a tier are full but for the last one"
+
+
+def test_step_groups_cost_alike():
+    packer = packing.Packer(packing.TIERS, 0)
+    rng = random.Random(3)
+    for d in range(3000):
+        packer.add(d, np.arange(rng.choice([30, 100, 700, 2047]), dtype="<u4"))
+    packer.pack()
+    rows = packer.flush(last=True).to_pylist()
+    cost = Counter()
+    size = Counter()
+    for r in rows:
+        if r["tier"] == 2048:
+            cost[r["step_group"]] += r["length"] ** 2
+            size[r["step_group"]] += r["length"]
+    full = [cost[g] for g in cost if size[g] == packing.STEP_TOKENS]
+    assert len(full) > 20 and len(size) - len(full) <= 1 and max(full) < 1.05 * min(full)
 
 
 def base(text):
@@ -111,9 +132,17 @@ def test_redaction(documents):
     out = secrets.redact(df)
     assert out.columns == df.columns
     text = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert out.count() == len(SECRET_ROWS) and text[None] == "[SECRET]"
     assert text[2] == "mine is [SECRET] x" and text[4] == f"example {COPIED}" and text[9] is None and text[1].startswith("é [SECRET]")
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 10**6, "token " * 500_000, "AKIA" * 10**6, "-----BEGIN " + "A " * 10**6, "xox" * 10**6, "://" + "a" * 3 * 10**6, "-----BEGIN A" * 200_000])
+def test_long_texts_are_scanned_in_linear_time(text):
+    began = time.process_time()
+    secrets.further_spans(text, [(a, b) for a, _, b, _ in secrets.base_spans(text)])
+    assert time.process_time() - began < 20
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><p>Head line of site</p></header>'
     '<nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- ad --><div class="ad">A long advert sentence with quite many words in it, to be left out of all.</div>'
@@ -201,17 +230,37 @@ def test_decontamination(spark, documents):
     rows = [
         (1, f"Some words first. {ITEM} and after"), (2, f"x y {again} z"), (3, "nothing of the kind is in this text at all, not at all"), (4, None), (5, ""),
         (6, " ".join(ITEM.split()[:9])), (7, f"a {mixed}"), (None, ITEM), (1, ITEM), (9, "tiny item"), (10, "so a tiny item here"),
+        (None, " ".join(ITEM.split()[:12])), (None, " ".join(ITEM.split()[12:])),
     ]
     bench = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "", 0), (4, "tiny item", 0)], "item_id long, text string, h int")
-    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(documents(rows), bench).collect()}
+    out = decontamination.contaminated(documents(rows), bench).collect()
+    assert len(out) == 7, "half an item in each of two rows without id is no leak, and rows of one id have a row each"
+    found = {(r["doc_id"], r["item_id"]): r for r in out}
     assert set(found) == {(1, 1), (2, 1), (7, 1), (None, 1), (9, 4), (10, 4)}
     assert found[1, 1]["verbatim"] and not found[2, 1]["verbatim"] and found[2, 1]["n_consistent"] == found[2, 1]["n_slots"]
     df = documents(rows)
     clean = decontamination.decontaminate(df, bench)
-    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
+    assert clean.columns == df.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == ["3", "4", "5", "6", "None", "None"]
     assert decontamination.contaminated(df.where("false"), bench).count() == 0 and decontamination.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_by_brute_force(spark, documents):
+    rng = random.Random(7)
+    word = lambda: rng.choice("the of a soup pan adds then with 3 12 40 seven Ann Bob Carol km kg + = *".split())
+    items = [" ".join(word() for _ in range(rng.choice([2, 5, 8, 11, 20]))) for _ in range(12)] + ["12 + 30 = 42 and 7 * 6 = 42", "Ann Bob Carol Dora Emil Fritz Gus Hans Ida"]
+    swap = {"3": "9", "12": "77", "Ann": "Zoe", "Bob": "Yan", "km": "miles"}
+    rows = []
+    for k in range(120):
+        text = rng.choice(items).split()
+        if k % 3:
+            text = [swap.get(w, w) if rng.random() < 0.8 else word() for w in text]
+        rows.append((k, " ".join([word() for _ in range(rng.randrange(9))] + text + [word() for _ in range(rng.randrange(9))])))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert found == {(d, i) for d, t in rows for i, item in enumerate(items) if brute.leak(t, item, decontamination.canonical)}
+    assert {d for d, t in rows if any(f" {i} " in f" {t} " for i in items)} <= {d for d, _ in found}, "verbatim items are all found"
+
+
 def test_inconsistent_slots_are_no_leak(spark, documents):
     words = "adds mixes stirs pours heats cools dries grinds".split()
     item = " ".join(f"Ann {w} the soup in a pan of" for w in words)
