@@ -115,7 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     sample = labelled_sample(labels, per_class)
     texts = documents_of(docs).join(F.broadcast(sample), "doc_id", "left_semi")
     rows = texts.mapInArrow(_vectors, "doc_id long, vector binary").join(sample, "doc_id")
-    found = rows.orderBy("doc_id", "vector").limit(4 * per_class).toPandas()  # ids may repeat in the documents
+    # Ids may repeat in the documents: one text for each, so no more rows than sampled ids.
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("vector", "label", "weight")).alias("row"))
+    found = one.select("doc_id", "row.*").orderBy("doc_id").toPandas()
     x = np.frombuffer(b"".join(found["vector"]), dtype=np.float32).reshape(-1, SIZE)
     _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
     axes = np.ascontiguousarray(axes[:, ::-1][:, :RANK], dtype=np.float32)

@@ -181,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> lis
     sample = labelled_sample(labels, per_class)
     known = documents_of(docs).join(F.broadcast(sample), "doc_id", "left_semi")
     columns = [f"r_{name}" for name in RATIOS]
-    found = statistics(known).join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *columns)
-    found = found.select(*columns, "label", "weight").limit(4 * per_class).toPandas()
+    # Ids may repeat in the documents: one text for each, so no more rows than sampled ids.
+    one = statistics(known).join(sample, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*columns, "label", "weight")).alias("row"))
+    found = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("row.*").toPandas()
     x = found[columns].to_numpy(np.float64)
     return learn(np.nan_to_num(x, nan=0.0), (found["label"] == 0).to_numpy(), found["weight"].to_numpy(np.float64))
 

@@ -20,7 +20,7 @@ def labelled_sample(labels: DataFrame, per_class: int, label: str = "quality") -
 
     The ids are those of least hash, so the sample does not depend on the order of rows. weight is the number of
     labelled rows that a sampled row of its label stands for. An id labelled more than once counts once, by its least
-    label; null ids and labels are no labels.
+    label, so repeated rows change nothing; null ids and labels are no labels. No labels give no rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))

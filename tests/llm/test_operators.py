@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestone.llm import (
-    decontamination, html, packing, quality_classifier, quality_rules, queries, secrets, token_counts,
+    decontamination, html, near_copies, packing, quality_classifier, quality_rules, queries, secrets, simhash, token_counts,
 )
 
 
@@ -127,6 +127,28 @@ def test_secrets(documents):
     assert by[4]["spans"] == "" and by[4]["n_example"] == 1, "three owners hold it: an example"
 
 
+def test_ownership_by_plain_counts(documents):
+    rng = random.Random(2)
+    values = [LIVE, COPIED, "AKIA" + "Q7" * 9, "sk_live_" + "a1B2" * 6, "0123456789abcdef01"] + ["Zx9" + "".join(rng.choice("abcDEF0123456789") for _ in range(24)) for _ in range(12)]
+    rows = [(d, " and ".join(rng.sample(values, rng.randrange(4)))) for d in range(1, 90)] + [(None, LIVE), (4, "twice " + COPIED), (7, None)]
+    held = {}
+    spans = []
+    for d, t in rows:
+        base = secrets.base_spans(t or "")
+        some = [(a, k, secrets.KINDS[k], b, v, True) for a, k, b, v in base]
+        some += [(a, 3, k, b, v, False) for k, a, b, v in secrets.further_spans(t or "", [(a, b) for a, _, b, _ in base])]
+        spans.append((d, some))
+        for *_, v, _ in some:
+            held.setdefault(v, {}).setdefault(f"s{(d or 0) % 3}", set()).add(d)
+    live = {v for v, by in held.items() if len(by) <= secrets.MOST_OWNERS and max(map(len, by.values())) <= secrets.MOST_REPOSITORIES}
+    expected = []
+    for d, some in spans:
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, k, b, v, own in sorted(some) if own or v in live)
+        expected.append((str(d), listed, sum(s[4] in live for s in some), sum(s[4] not in live for s in some)))
+    found = secrets.scan(documents(rows)).collect()
+    assert sorted((str(r["doc_id"]), r["spans"], r["n_live"], r["n_example"]) for r in found) == sorted(expected)
+
+
 def test_redaction(documents):
     df = documents(SECRET_ROWS)
     out = secrets.redact(df)
@@ -169,6 +191,40 @@ def test_the_tree_fits_its_table():
     x, y = html.labelled_table()
     assert (html.verdicts(html.trained(), x) == y).all()
 
+    def used(tree):
+        return set() if isinstance(tree, bool) else {html.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+    assert {"link_density", "words_before", "words_after", "link_density_after"} <= used(html.trained())
+
+
+LONG = "plain words of a paragraph that goes on for long enough to be told from a menu by them alone"
+BODY = f"<h1>The title of it</h1><p>{LONG}</p><p>Short one</p><p>{LONG} again</p>"
+BODY_TEXT = f"The title of it {LONG} Short one {LONG} again"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<div class="post no-comments"><div class="entry">{}</div></div>',
+    '<main><div id="side-by-side">{}</div></main>', '<form id="aspnetForm"><article>{}</article></form>', '<form><div class=x1>{}</div></form>',
+    "<nav><a href=x>Home</a></nav><article>{}</article><div><p>A reader says that he does not agree with any of this, at length.</p></div>",
+    "<article>{}<aside><p>Aside that speaks of something else, in quite a few words too.</p></aside></article><footer>Foot</footer>",
+    "<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><div class=zz9>{}</div><p><a href=q>Older</a></p><p><a href=r>Newer</a></p>",
+    "<div hidden>Not to be seen by anyone who reads this page</div><article>{}<div style='display: none'>Nor this</div></article>",
+    "<SCRIPT>x='<p>no</p>'</SCRIPT><article>{}</article><section class=comments><article><p>A comment in an article of its own.</p></article></section>",
+])
+def test_layouts(page):
+    assert html.main_text(page.format(BODY)) == BODY_TEXT
+
+
+def test_a_list_of_links_is_no_text():
+    assert html.main_text("".join(f"<p><a href=x>the words of a link, number {i} of some</a></p>" for i in range(6))) == ""
+
+
+@pytest.mark.parametrize("page", ["<i " * 10**6, '<p a="' * 500_000, "<p a='x>" * 400_000, "<script>" * 300_000, "<!--" * 10**6, "<" * 3 * 10**6, "<div class=ad>" * 200_000, "<div>" * 300_000 + "</b></p>" * 300_000, "<p>" + "word " * 10**6])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 30
+
 
 def test_pages(table):
     import html as std
@@ -201,6 +257,31 @@ def test_classifier_edge_cases(documents, labels):
     assert quality_classifier.classify(documents(rows).where("false"), labels([])).count() == 0
 
 
+def test_votes_by_plain_cosines(spark):
+    d = "/root/testdata/sf0.001"
+    docs, known = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality_classifier.train(docs, known)
+    found = {r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, known).collect()}
+    points = model.points.T.astype(float)
+    for r in docs.collect():
+        x = quality_classifier.vector(r["text"] or "") @ model.axes
+        cosine = [float(x @ p) / max(float(np.linalg.norm(x)), 1e-9) for p in points]
+        near = sorted(range(len(points)), key=lambda k: -cosine[k])[: quality_classifier.NEIGHBOURS]
+        votes = [max(0.0, min(1.0, cosine[k])) ** quality_classifier.SHARPNESS * model.weights[k] for k in near]
+        expected = sum(v for v, k in zip(votes, near, strict=True) if model.labels[k]) / sum(votes) if sum(votes) > 1e-12 else model.prior
+        assert abs(found[r["doc_id"]] - expected) < 1e-3
+
+
+def test_learned_rules_are_precise():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, len(quality_rules.RATIOS)))
+    bad = (x[:, 2] > 0.7) & (x[:, 4] <= 0.5) | (x[:, 7] > 0.9)
+    rules = quality_rules.learn(x, bad, np.ones(len(x)))
+    met = np.logical_or.reduce([quality_rules._meets(rule, x) for rule in rules])
+    assert bad[met].mean() >= quality_rules.PRECISION and met[bad].mean() > 0.9
+    assert quality_rules.learn(x, np.zeros(len(x), dtype=bool), np.ones(len(x))) == []
+
+
 def test_rule_counts(documents, table):
     rows = [(1, "a b c d e f g h " * 3 + "\n\nx\nx\n \n \n# $"), (2, None), (3, ""), (4, "one\x1ctwo three é"), (None, "w " * 30)]
     rows += [(r["doc_id"] + 100, r["text"]) for r in table("documents").collect()]
@@ -303,3 +384,21 @@ def test_pipeline_by_its_stages(spark, table, tokenizer):
 @pytest.mark.parametrize("operator", [token_counts.length_histogram, secrets.scan, secrets.redact, packing.pack])
 def test_empty_tables(documents, operator):
     assert operator(documents(TEXTS).where("doc_id < 0")).count() == 0
+
+
+def test_empty_tables_of_two(spark, documents, labels):
+    none, bench = documents(TEXTS).where("doc_id < 0"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    known = labels([(1, 1, 0), (2, 0, 0)])
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for out in (quality_rules.judge(none, known), quality_classifier.accepted(none, known), decontamination.decontaminate(none, bench), html.extract(pages)):
+        assert out.count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    schema = "doc_id long, text string, source string, __row long, __key string, __hits int, __spans int, __id int, __none int, __kept int, fp long, cls long"
+    rows = [(1, f"{LONG} {LIVE}", "s", *range(9)), (1, f"{LONG} {LIVE}", "s", *range(9)), (None, None, None, *range(9)), (3, ITEM, "t", *range(9))]
+    rows = [(*r[:4], str(r[4]), *r[5:]) for r in rows]
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for out, n in ((secrets.redact(docs), 4), (decontamination.decontaminate(docs, bench), 3), (simhash.representatives(docs), 3), (near_copies.representatives(docs), 3)):
+        assert out.columns == docs.columns and len(found := out.collect()) == n and all(r["__hits"] == 2 and r["fp"] == 7 for r in found)
