@@ -44,8 +44,9 @@ def _least_reaching(edges: DataFrame, label: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(corpus, id, component) of every entity in a cycle of two or more over usage edges; component is the least id.
 
-    Colour every entity by the least id that reaches it. An entity that its colour's owner is reached from, inside the
-    colour, is in the owner's component. Components found leave, and edges between colours with them; the rest goes on.
+    Colour every entity by the least id that reaches it. An entity that reaches its colour's owner, inside the colour, is
+    in the owner's component: the same labels on turned edges tell, again in logarithmic rounds. Components found leave,
+    and edges between colours with them; the rest goes on.
     """
     left = usage(edges).where("s <> t").select("corpus", "s", "t").distinct()
     left = materialize(_trimmed(left), "cycle-edges")
@@ -55,13 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
         inner = left.join(colour.withColumnRenamed("id", "s").withColumnRenamed("colour", "cs"), ["corpus", "s"])
         inner = inner.join(colour.withColumnRenamed("id", "t").withColumnRenamed("colour", "ct"), ["corpus", "t"]).where("cs = ct")
         inner = materialize(inner.select("corpus", F.col("cs").alias("colour"), "s", "t"), "cycle-inner")
-        # Backwards from each colour's owner, inside the colour.
-        reached = materialize(inner.select("corpus", "colour", F.col("colour").alias("id")).distinct(), "cycle-back")
-        new = reached
-        while not new.isEmpty():
-            step = new.withColumnRenamed("id", "t").join(inner, ["corpus", "colour", "t"]).select("corpus", "colour", F.col("s").alias("id")).distinct()
-            new = materialize(step.join(reached, ["corpus", "colour", "id"], "left_anti"), "cycle-back")
-            reached = reached.unionByName(new)
+        # The owner is the least id of its colour, so whoever reaches it has it as the least id it reaches.
+        back = _least_reaching(inner.select("corpus", F.col("t").alias("s"), F.col("s").alias("t")), "cycle-back")
+        reached = materialize(back.join(colour, ["corpus", "id"]).where("least = colour").select("corpus", "colour", "id"), "cycle-back")
         part = reached.join(reached.groupBy("corpus", "colour").agg(F.count("*").alias("n")).where("n > 1"), ["corpus", "colour"])
         part = materialize(part.select("corpus", "id", F.col("colour").alias("component")), "cycle-found")
         found = part if found is None else found.unionByName(part)

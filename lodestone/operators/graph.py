@@ -123,3 +123,18 @@ def edge_styles(edges: DataFrame, nodes: DataFrame, highlighted: DataFrame) -> D
         .when(~F.col("c_s").eqNullSafe(F.col("c_t")), "bridge").otherwise("normal")
     )
     return out.select("corpus", "s", "t", "rel", style.alias("style"))
+
+
+def file_nodes(nodes: DataFrame) -> DataFrame:
+    """The entity that stands for each file: the one that starts first in it, and how many it holds."""
+    line = F.coalesce(F.regexp_extract("loc", "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    own = nodes.where("path is not null")
+    return own.groupBy("corpus", "path").agg(F.min_by("id", F.struct(line, "id")).alias("id"), F.count("*").alias("entities"))
+
+
+def same_file_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(corpus, id, nbr, rel) for both ends of every edge inside one file."""
+    at = lambda end: nodes.where("path is not null").select("corpus", F.col("id").alias(end), F.col("path").alias(f"{end}_path"))
+    inside = edges.select("corpus", "s", "t", "rel").join(at("s"), ["corpus", "s"]).join(at("t"), ["corpus", "t"]).where("s_path = t_path and s <> t")
+    ends = F.explode(F.array(F.struct(F.col("s").alias("id"), F.col("t").alias("nbr")), F.struct(F.col("t").alias("id"), F.col("s").alias("nbr")))).alias("e")
+    return inside.select("corpus", "rel", ends).select("corpus", "e.id", "e.nbr", "rel").distinct()

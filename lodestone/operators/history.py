@@ -17,7 +17,9 @@ def _fnv(text, start):
 
 
 def signature_v1(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Version of a build: FNV-1a over its sorted ids and the number of its edges, in base 36."""
+    """Version of a small build: FNV-1a over its sorted ids and the number of its edges, in base 36. All ids of a corpus
+    meet in one row, so this is for builds of a few hundred thousand entities, whose saved versions it must match;
+    ``signature_v2`` is for any size."""
     ids = nodes.groupBy("corpus").agg(F.array_join(F.sort_array(F.collect_list("id")), "").alias("ids"))
     counts = edges.groupBy("corpus").agg(F.count("*").alias("n"))
     joined = ids.join(counts, "corpus", "left")
@@ -28,11 +30,11 @@ def signature_v1(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def signature_v2(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A version that edges change too, whatever the order of rows: sums of hashes, so builds of any size do."""
-    parts = nodes.select("corpus", F.xxhash64(F.lit("n"), "id").alias("h")).unionByName(
-        edges.select("corpus", F.xxhash64(F.lit("e"), "s", "t", "rel", "conf").alias("h"))
-    )
-    summed = parts.groupBy("corpus").agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").bitwiseAND((1 << 40) - 1)).alias("s"), F.count("*").alias("n"))
-    return summed.select("corpus", F.substring(F.sha1(F.concat_ws(":", "x", "s", "n")), 1, 12).alias("version"))
+    hashed = lambda *cols: F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 15), 16, 10).cast("decimal(38,0)")
+    parts = nodes.select("corpus", hashed("id").alias("nodes"), F.lit(1).alias("n"), F.lit(0).cast("decimal(38,0)").alias("edges"), F.lit(0).alias("e"))
+    parts = parts.unionByName(edges.select("corpus", F.lit(0).cast("decimal(38,0)").alias("nodes"), F.lit(0).alias("n"), hashed("s", "t", "rel", "conf").alias("edges"), F.lit(1).alias("e")))
+    summed = parts.groupBy("corpus").agg(*[F.sum(c).cast("string").alias(c) for c in ("nodes", "n", "edges", "e")])
+    return summed.select("corpus", F.substring(F.md5(F.concat_ws(":", "nodes", "n", "edges", "e")), 1, 12).alias("version"))
 
 
 def build_size(sources: DataFrame, nodes: DataFrame, edges: DataFrame, passages: DataFrame) -> DataFrame:

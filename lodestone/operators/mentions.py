@@ -43,9 +43,11 @@ def candidates(found: DataFrame, passages: DataFrame) -> DataFrame:
     at is the first occurrence of the form anywhere in the passage, start that of the form as a word, from 0.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), 0))
-    # A form may start inside a run of word characters only after a dot, which the word test rules out anyway.
-    met = passages.select("corpus", "pid", F.col("text").alias("body"), F.explode(words).alias("head"))
+    # A form may start inside a run of word characters only after a dot, which the word test rules out anyway. Only the
+    # words meet the forms; the text of a passage comes to its hits afterwards.
+    met = passages.select("corpus", "pid", F.explode(words).alias("head"))
     met = met.join(found.select("corpus", "head", "key", "id", "kind", "fenced_only"), ["corpus", "head"])
+    met = met.join(passages.select("corpus", "pid", F.col("text").alias("body")), ["corpus", "pid"])
     met = met.withColumn("at", F.position(F.col("key"), F.lower("body")) - 1).where("at >= 0")
     quoted = F.concat(F.lit(r"(?i)(?<![\w.])\Q"), F.col("key"), F.lit(r"\E(?!\w)"))
     start = F.regexp_instr("body", quoted) - 1
@@ -91,12 +93,20 @@ def mentions(nodes: DataFrame, passages: DataFrame, most: int = MOST_PER_PASSAGE
     return under_ceiling(hits, passages, share).select("corpus", "pid", "id", "key", "kind", "confidence", "matched")
 
 
+#: From the surest to the least sure.
+CONFIDENCES = ("high", "medium", "low")
+
+
+def _unsure(confidence="confidence"):
+    return F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col(confidence))
+
+
 def by_node(found: DataFrame) -> DataFrame:
-    return found.groupBy("corpus", "id").agg(F.count("*").alias("passages"), F.max("confidence").alias("confidence"), F.min("pid").alias("first_pid"))
+    """For each entity the number of passages that mention it, the surest confidence of a mention, and the first passage."""
+    return found.groupBy("corpus", "id").agg(F.count("*").alias("passages"), F.min_by("confidence", _unsure()).alias("confidence"), F.min("pid").alias("first_pid"))
 
 
 def ranked_for_panel(found: DataFrame, n: int = 8) -> DataFrame:
     """The first mentions of each entity, the surest first."""
-    rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    w = Window.partitionBy("corpus", "id").orderBy(rank, "pid")
+    w = Window.partitionBy("corpus", "id").orderBy(_unsure(), "pid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

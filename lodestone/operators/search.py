@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, context, match_score
+from ..plans.storage import running_sum
 
 PER_FILE, BATCH, MOST_MATCHES = 20, 12, 300
 LIMITS = {"Entities": 8, "Files": 8, "Commands": 6, "Recent files": 6}
@@ -32,8 +33,8 @@ def literal_search(files: DataFrame, query: str, limit: int = MOST_MATCHES, batc
     """Matches in the order of paths, whole batches of ``batch`` files until ``limit`` is reached, as a reader would
     get them. What is counted over all files are batches, not matches."""
     found = line_matches(files, query)
-    order = Window.partitionBy("corpus").orderBy("path")
-    numbered = files.select("corpus", "path", F.floor((F.row_number().over(order) - 1) / batch).alias("batch"))
+    placed = running_sum(files.select("corpus", "path", F.lit(1).cast("long").alias("one")), "corpus", ["path"], "one", "n")
+    numbered = placed.select("corpus", "path", F.floor((F.col("n") - 1) / batch).alias("batch"))
     counted = found.groupBy("corpus", "path").agg(F.count("*").alias("n")).join(numbered, ["corpus", "path"])
     per = counted.groupBy("corpus", "batch").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("corpus").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

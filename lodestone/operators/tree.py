@@ -47,3 +47,10 @@ def collapsed(tree: DataFrame) -> DataFrame:
 
 def file_counts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("corpus").agg(F.count_distinct("path").alias("files"))
+
+
+def filtered(entries: DataFrame, query: str) -> DataFrame:
+    """The entries of files whose path holds ``query``, whatever its case, and of the folders above them."""
+    hits = entries.where(~F.col("is_dir") & F.contains(F.lower("path"), F.lit(query.strip().lower()))).select("corpus", "path")
+    above = hits.select("corpus", F.explode(ancestors("path")).alias("path"))
+    return entries.join(hits.unionByName(above).distinct(), ["corpus", "path"], "left_semi")

@@ -258,11 +258,13 @@ def blast_rings(spark, d):
     return blast.rings(_blast(spark, d, _ROOTS, 2, "in"))
 
 
-@query(f"""WITH RECURSIVE e AS ({fx.duck(fx.CYCLIC)}), walk AS (SELECT s, t FROM e UNION SELECT w.s, e.t FROM walk w JOIN e ON e.s = w.t),
+@query(_STAR + """, e AS (SELECT DISTINCT s, t FROM used WHERE s <> t AND s IN (SELECT id FROM own) AND t IN (SELECT id FROM own)),
+walk AS (SELECT s, t FROM e UNION SELECT w.s, e.t FROM walk w JOIN e ON e.s = w.t),
 same AS (SELECT a.s AS id, least(a.s, min(a.t)) AS component FROM walk a JOIN walk b ON b.s = a.t AND b.t = a.s WHERE a.s <> a.t GROUP BY a.s)
 SELECT 'star' AS corpus, component, count(*) AS size, CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS INTEGER) AS rank FROM same GROUP BY component ORDER BY rank LIMIT 10""")
 def dependency_cycles(spark, d):
-    return cycles.cycles(fx.load(spark, d, fx.NODES), fx.load(spark, d, fx.CYCLIC))
+    s = Star(spark, d)
+    return cycles.cycles(s.own, s.edges)
 
 
 _DIFF = f"WITH n0 AS ({fx.duck(fx.NODES_BEFORE)}), n1 AS ({fx.duck(fx.NODES_AFTER)}), e0 AS ({fx.duck(fx.EDGES_BEFORE)}), e1 AS ({fx.duck(fx.EDGES_AFTER)}), m AS ({fx.duck(fx.COMMUNITIES)})\n"
@@ -319,10 +321,14 @@ def relation_scores(spark, d):
     return score.relation_scores(before[1], after[1])
 
 
-@query()
+_HASHED = "CAST(CAST(concat('0x', substr(md5({}), 1, 15)) AS BIGINT) AS HUGEINT)"
+
+
+@query(_STAR + f"""SELECT 'star' AS corpus, substr(md5(concat_ws(':', (SELECT sum({_HASHED.format('id')}) FROM nodes), (SELECT count(*) FROM nodes),
+(SELECT sum({_HASHED.format("concat_ws('|', s, t, rel, conf)")}) FROM edges), (SELECT count(*) FROM edges))), 1, 12) AS version""")
 def build_signature(spark, d):
     s = Star(spark, d)
-    return history.signature_v1(s.nodes, s.edges).withColumn("scheme", F.lit("v1")).unionByName(history.signature_v2(s.nodes, s.edges).withColumn("scheme", F.lit("v2")))
+    return history.signature_v2(s.nodes, s.edges)
 
 
 @query(_STAR + f"""SELECT corpus, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT corpus, length(path) + length(src) AS n FROM ({fx.duck(fx.FILES)}) f
@@ -602,15 +608,64 @@ def extract_javascript(spark, d):
 @query()
 def detected_communities(spark, d):
     s = Star(spark, d)
-    return layout.communities(s.nodes, s.collapsed, rounds=4)
+    return layout.communities(s.nodes, s.collapsed)
 
 
 @query()
 def map_layout(spark, d):
     s = Star(spark, d)
-    return layout.layout(s.nodes, s.collapsed, s.degrees, rounds=3)
+    return layout.layout(s.nodes, s.collapsed, s.degrees)
 
 
 @query()
 def similar_documents(spark, d):
     return docgraph.related(fx.load(spark, d, fx.PASSAGES).select("corpus", F.col("pid").alias("id"), "text"))
+
+
+# Saved builds, recents, repeated paths and recall.
+
+
+@query(f"""SELECT corpus, CASE WHEN k > 1 THEN concat(regexp_replace(path, '\\.[^./]*$', ''), ' (', k, ')', regexp_extract(path, '\\.[^./]*$')) ELSE path END AS path, ord FROM (
+SELECT *, row_number() OVER (PARTITION BY corpus, path ORDER BY ord) AS k FROM ({fx.duck(fx.NAMED)}) n) q""")
+def unique_paths(spark, d):
+    return knowledge.unique_paths(fx.load(spark, d, fx.NAMED))
+
+
+@query(f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY corpus ORDER BY stamp DESC, path) AS INTEGER) AS rank FROM (
+SELECT corpus, path, arg_max(line, stamp) AS line, max(stamp) AS stamp FROM ({fx.duck(fx.LOG)}) l GROUP BY ALL) q) r WHERE rank <= 12 AND (corpus, path) IN (SELECT (corpus, path) FROM ({fx.duck(fx.THERE)}) t)""")
+def recent_files_there(spark, d):
+    return history.recent_files(fx.load(spark, d, fx.LOG).select("corpus", "path", "line", "stamp"), fx.load(spark, d, fx.THERE))
+
+
+@query(f"""SELECT id, arg_max(name, saved_at) AS name, max(saved_at) AS saved_at, arg_max(bytes, saved_at) AS bytes FROM (
+SELECT * FROM ({fx.duck(fx.BUILDS)}) b UNION ALL SELECT id, concat(name, '_new'), saved_at + INTERVAL 1 DAY, bytes + 1 FROM ({fx.duck(fx.BUILDS)}) c WHERE bytes > 50000) u GROUP BY id""")
+def build_upsert(spark, d):
+    builds = fx.load(spark, d, fx.BUILDS)
+    new = builds.where("bytes > 50000").select("id", F.concat("name", F.lit("_new")).alias("name"), (F.col("saved_at") + F.expr("INTERVAL 1 DAY")).alias("saved_at"), (F.col("bytes") + 1).alias("bytes"))
+    return history.upsert(builds, new)
+
+
+@query(_STAR + ", ranked AS (SELECT corpus, s AS a, t AS b, rel FROM edges) SELECT corpus, rel, count(*) AS n, count(DISTINCT a) AS sources, count(DISTINCT b) AS targets FROM ranked GROUP BY ALL")
+def relation_counts(spark, d):
+    edges = Star(spark, d).edges
+    return edges.groupBy("corpus", "rel").agg(F.count("*").alias("n"), F.count_distinct("s").alias("sources"), F.count_distinct("t").alias("targets"))
+
+
+@query(_STAR + """, files AS (SELECT DISTINCT corpus, path FROM own), found AS (SELECT n.corpus, n.path, n.id, n.loc FROM own n)
+SELECT corpus, path, arg_min(id, (CAST(substr(loc, 2) AS INTEGER), id)) AS id, count(*) AS entities FROM found GROUP BY ALL""")
+def file_nodes(spark, d):
+    return graph.file_nodes(Star(spark, d).own)
+
+
+@query(_STAR + """SELECT a.corpus, a.id, b.id AS nbr, e.rel FROM edges e JOIN nodes a ON a.id = e.s JOIN nodes b ON b.id = e.t WHERE a.path IS NOT NULL AND a.path = b.path AND a.id <> b.id
+UNION SELECT b.corpus, b.id, a.id, e.rel FROM edges e JOIN nodes a ON a.id = e.s JOIN nodes b ON b.id = e.t WHERE a.path IS NOT NULL AND a.path = b.path AND a.id <> b.id""")
+def same_file_neighbours(spark, d):
+    s = Star(spark, d)
+    return graph.same_file_neighbours(s.nodes, s.edges)
+
+
+@query(_TREE + """, hit AS (SELECT corpus, path FROM p WHERE contains(lower(path), 'en/1')),
+shown AS (SELECT corpus, path FROM hit UNION SELECT h.corpus, array_to_string(string_split(h.path, '/')[1:i], '/') FROM (SELECT corpus, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM hit) h)
+SELECT tree.* FROM tree SEMI JOIN shown ON shown.path = tree.path""")
+def filtered_tree(spark, d):
+    return tree.filtered(tree.entries(fx.load(spark, d, fx.PATHS)).drop("rank"), "EN/1")

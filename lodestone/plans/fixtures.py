@@ -28,28 +28,27 @@ UNION ALL SELECT 'star', concat('customer_', {_text("c_custkey")}), concat(c_nam
 
 CALLS = f"""SELECT 'star' AS corpus, concat('customer_', {_text("o_custkey")}) AS s, concat('supplier_', {_text("l_suppkey")}) AS t, 'calls' AS rel,
   CASE WHEN min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'INFERRED' ELSE 'EXTRACTED' END AS conf
-  FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey WHERE l_quantity >= 49 AND $WHERE GROUP BY o_custkey, l_suppkey"""
+  FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey WHERE $WHERE GROUP BY o_custkey, l_suppkey"""
 REFERENCES = f"""SELECT DISTINCT 'star' AS corpus, concat('supplier_', {_text("a.l_suppkey")}) AS s, concat('supplier_', {_text("b.l_suppkey")}) AS t,
   'references' AS rel, 'EXTRACTED' AS conf
   FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity >= $LEAST AND b.l_suppkey <> a.l_suppkey AND $WHERE"""
-CYCLIC = REFERENCES.replace("$LEAST", "50").replace("$WHERE", "a.l_suppkey % 3 = 0")
+  WHERE b.l_suppkey <> a.l_suppkey AND $WHERE"""
 EDGES = f"""SELECT DISTINCT * FROM (
 SELECT 'star' AS corpus, concat('nation_', {_text("s_nationkey")}) AS s, concat('supplier_', {_text("s_suppkey")}) AS t, 'contains' AS rel, 'EXTRACTED' AS conf FROM {{supplier}}
 UNION ALL SELECT 'star', concat('nation_', {_text("c_nationkey")}), concat('customer_', {_text("c_custkey")}), 'contains', 'EXTRACTED' FROM {{customer}}
 UNION ALL {CALLS.replace("$WHERE", "true")}
-UNION ALL {REFERENCES.replace("$LEAST", "49").replace("$WHERE", "true")}
+UNION ALL {REFERENCES.replace("$WHERE", "true")}
 UNION ALL SELECT 'star', concat('supplier_', {_text("l_suppkey")}), concat('ref_', lower(p_type)), 'imports_from', 'EXTRACTED'
-  FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_quantity >= 50
-UNION ALL SELECT 'star', concat('customer_', {_text("c_custkey")}), concat(lower(c_mktsegment), '_py_get'), 'references', 'EXTRACTED'
-  FROM {{customer}} WHERE c_custkey % 5 = 0) q"""
+  FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
+UNION ALL SELECT 'star', concat('customer_', {_text("c_custkey")}), concat(lower(c_mktsegment), CASE WHEN c_mktsegment < 'F' THEN '_py_get' ELSE '_py_note' END), 'references', 'EXTRACTED'
+  FROM {{customer}}) q"""
 COMMUNITIES = "SELECT 'star' AS corpus, n_nationkey AS community, n_name AS label FROM {nation}"
 
 _BEFORE, _AFTER = "l_shipdate < TIMESTAMP '1998-01-01 00:00:00'", "l_shipdate < TIMESTAMP '2000-01-01 00:00:00' AND l_returnflag <> 'A'"
 
 
 def _build(where: str) -> str:
-    refs = REFERENCES.replace("$LEAST", "49").replace("$WHERE", " AND ".join(f"a.{part}" for part in where.split(" AND ")))
+    refs = REFERENCES.replace("$WHERE", " AND ".join(f"a.{part}" for part in where.split(" AND ")))
     return f"SELECT DISTINCT * FROM ({CALLS.replace('$WHERE', where)} UNION ALL {refs}) q"
 
 
@@ -68,6 +67,10 @@ BUILDS = f"""SELECT concat('build_', {_text("event_id")}) AS id, concat('corpus_
 LOG = f"""SELECT concat('corpus_', {_text("user_id % 10")}) AS corpus, concat('  ', event_type, ' ', {_text("user_id % 37")}) AS query,
   concat('src/', event_type, '/', {_text("event_id % 50")}) AS path, CAST(event_id % 200 AS INTEGER) AS line, event_id AS stamp FROM {{events}}"""
 
+#: Files that are still there, and paths that repeat.
+THERE = f"SELECT DISTINCT concat('corpus_', {_text('user_id % 10')}) AS corpus, concat('src/', event_type, '/', {_text('event_id % 50')}) AS path FROM {{events}} WHERE value > 50"
+NAMED = "SELECT 'docs' AS corpus, concat(source, '/', lang, '.md') AS path, doc_id AS ord FROM {documents}"
+
 #: One passage a document: its source is the heading.
 PASSAGES = f"SELECT 'docs' AS corpus, {_text('doc_id')} AS pid, source AS heading, text FROM {{documents}}"
 FILES = f"SELECT 'docs' AS corpus, concat(source, '/', lang, '/', {_text('doc_id')}, '.txt') AS path, text AS src FROM {{documents}}"

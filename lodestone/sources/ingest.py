@@ -14,6 +14,7 @@ from ..functions.vocabulary import (
     CAPTURE_BUDGET, DOCUMENTS, INTERESTING, MANIFESTS, MINIFIED_LENGTH, MINIFIED_LINE, MOST_CAPTURED_BYTES,
     MOST_PDF_BYTES, MOST_SOURCE_BYTES, PARSEABLE, READABLE, READABLE_NAMES, SKIPPED, SKIPPED_FOR_CAPTURE, WORKFLOW,
 )
+from ..plans.storage import materialize, running_sum
 
 
 def is_readable(path="path"):
@@ -139,22 +140,24 @@ def captured_sources(files: DataFrame, nodes: DataFrame, budget: int = CAPTURE_B
     """Files to keep beside a graph: all that entities stand in, and of the interesting others, shallowest first, as many
     as a running budget takes; one too large for what is left is passed over and the next one tried.
 
-    The greedy choice folds the sizes of a corpus's interesting files in order; contents stay out of it.
+    The greedy choice goes in rounds over sizes, by sums that run over ranges of the order: the leading files that fit are
+    taken, all that are larger than what is left are passed over, and the rest goes on. Every round takes a file or
+    ends the choice of its corpus.
     """
-    sized = files.withColumn("n", F.octet_length("src")).where((F.col("n") <= MOST_CAPTURED_BYTES) & ~looks_minified())
+    sized = files.withColumn("n", F.octet_length("src").cast("long")).where((F.col("n") <= MOST_CAPTURED_BYTES) & ~looks_minified())
     on_graph = nodes.where("path is not null").select("corpus", "path").distinct()
     mapped = sized.join(on_graph, ["corpus", "path"], "left_semi").drop("n")
     extra = sized.join(on_graph, ["corpus", "path"], "left_anti").where(is_interesting() & ~is_skipped(folders=SKIPPED_FOR_CAPTURE))
-    order = F.struct(F.size(F.split("path", "/")).alias("depth"), "path", F.col("n").cast("long").alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("kept"))
-
-    def take(acc, x):
-        fits = acc.spent + x.n <= budget
-        return F.struct(F.when(fits, acc.spent + x.n).otherwise(acc.spent).alias("spent"), F.when(fits, F.concat(acc.kept, F.array(x.path))).otherwise(acc.kept).alias("kept"))
-
-    chosen = extra.groupBy("corpus").agg(F.sort_array(F.collect_list(order)).alias("all"))
-    chosen = chosen.select("corpus", F.explode(F.aggregate("all", start, take, lambda acc: acc.kept)).alias("path"))
-    return mapped.unionByName(extra.join(chosen, ["corpus", "path"], "left_semi").drop("n"))
+    rest = materialize(extra.select("corpus", F.size(F.split("path", "/")).alias("depth"), "path", "n", F.lit(budget).cast("long").alias("free")), "capture")
+    taken = rest.select("corpus", "path").limit(0)
+    while not rest.isEmpty():
+        summed = materialize(running_sum(rest, "corpus", ["depth", "path"], "n", "sum"), "capture")
+        fits = summed.where("sum <= free")
+        taken = taken.unionByName(fits.select("corpus", "path"))
+        spent = fits.groupBy("corpus").agg(F.max("sum").alias("spent"))
+        left = summed.where("sum > free").join(F.broadcast(spent), "corpus", "left").withColumn("free", F.col("free") - F.coalesce("spent", F.lit(0)))
+        rest = materialize(left.where("n <= free").select("corpus", "depth", "path", "n", "free"), "capture")
+    return mapped.unionByName(extra.join(taken, ["corpus", "path"], "left_semi").drop("n"))
 
 
 def glyph_lines(glyphs: DataFrame, bucket: float = 2.0) -> DataFrame:
