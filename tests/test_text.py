@@ -1,7 +1,10 @@
 """Knowledge, mentions, search, trees, history, ingest, extraction, reports and streaming."""
 
 import io
+import math
+import random
 import zipfile
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import docgraph, extract, history, knowledge, mentions, search, tree
+from lodestone.plans import storage
 from lodestone.sources import code_facts, ingest, reports
 from lodestone.streaming import builds
 
@@ -302,3 +306,57 @@ def test_builds_stream_into_a_retained_table(spark, tmp_path):
     assert builds.current(spark, f"{tmp_path}/out").count() == 8
     log = spark.createDataFrame([("x", t), ("x", t + timedelta(minutes=5)), ("y", t)], "corpus string, at timestamp")
     assert {r["n"] for r in builds.activity(log).collect()} == {1, 2}
+
+
+def test_similar_texts_by_plain_cosines(spark, monkeypatch):
+    monkeypatch.setattr(docgraph, "BLOCK", 3)
+    rng = random.Random(5)
+    words = [f"term{k}" for k in range(40)]
+    texts = [(f"d{k:03}", " ".join(rng.choices(words, k=rng.choice([3, 8, 20])))) for k in range(60)]
+    texts += [(f"e{k:03}", texts[k % 7][1]) for k in range(30)] + [("none", "")]
+    df = spark.createDataFrame([("c", i, t) for i, t in texts], "corpus string, id string, text string")
+    found = {(r["s"], r["t"]): r["cosine"] for r in docgraph.related(df, partners=10**6).collect()}
+    bag = {i: Counter(t.split()) for i, t in texts}
+    df_of = Counter(w for b in bag.values() for w in b)
+    kept = {w for w, n in df_of.items() if n <= max(2, math.floor(len(texts) * docgraph.MOST_SHARE))}
+    vector = {}
+    for i, b in bag.items():
+        v = {w: n * math.log(1 + len(texts) / df_of[w]) for w, n in b.items() if w in kept}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        if v:
+            vector[i] = {w: round(x / norm, 9) for w, x in v.items()}
+    rep = {i: min(j for j, u in vector.items() if u == v) for i, v in vector.items()}
+    expected = {(rep[i], i): 1.0 for i in vector if rep[i] != i}
+    alone = sorted(set(rep.values()))
+    for a in alone:
+        for b in alone:
+            cosine = sum(x * vector[b].get(w, 0) for w, x in vector[a].items())
+            if a < b and cosine >= docgraph.LEAST_COSINE:
+                expected[a, b] = round(cosine, 6)
+    assert len(expected) > 30 and set(found) == set(expected)
+    assert all(abs(found[k] - v) < 1e-5 for k, v in expected.items())
+
+
+def test_mentions_take_the_surest_confidence(spark):
+    rows = [("c", "p1", "n", "low"), ("c", "p2", "n", "high"), ("c", "p3", "n", "medium"), ("c", "p4", "m", "medium"), ("c", "p5", "m", "low")]
+    found = mentions.by_node(spark.createDataFrame(rows, "corpus string, pid string, id string, confidence string")).collect()
+    assert {(r["id"], r["passages"], r["confidence"], r["first_pid"]) for r in found} == {("n", 3, "high", "p1"), ("m", 2, "medium", "p4")}
+
+
+def test_capture_by_the_greedy_fold(spark):
+    rng = random.Random(8)
+    files = [("c", "/".join(["d"] * rng.randrange(3) + [f"f{k}.md"]), "x" * rng.choice([1, 5, 30, 60, 90])) for k in range(40)]
+    none = spark.createDataFrame([], "corpus string, id string, path string")
+    df = spark.createDataFrame(files, "corpus string, path string, src string")
+    spent, kept = 0, set()
+    for _, path, src in sorted(files, key=lambda f: (f[1].count("/"), f[1])):
+        if spent + len(src) <= 300:
+            spent += len(src)
+            kept.add(path)
+    assert {r["path"] for r in ingest.captured_sources(df, none, budget=300).collect()} == kept
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [("a", k, k % 5 + 1) for k in range(100)] + [("b", k, 1) for k in range(7)]
+    found = storage.running_sum(spark.createDataFrame(rows, "g string, k long, v long").repartition(7), "g", ["k"], "v", "sum").collect()
+    assert {(r["g"], r["k"]): r["sum"] for r in found} == {(g, k): sum(v for h, j, v in rows if h == g and j <= k) for g, k, _ in rows}
