@@ -100,8 +100,9 @@ def raw_nodes(files: DataFrame, facts: DataFrame) -> DataFrame:
     top = facts.where(F.col("fact").isin("function", "class", "type", "value"))
     label = F.when(F.col("fact") == "function", F.concat("name", F.lit("()"))).otherwise(F.col("name"))
     top = top.select("corpus", _id(file_id, F.col("name")).alias("id"), label.alias("label"), F.lit("code").alias("kind"), "path", loc, "line")
-    member = facts.where("fact = 'member'")
-    member = member.select("corpus", _id(file_id, F.col("owner"), F.col("name")).alias("id"), F.concat(F.lit("."), F.col("name"), F.lit("()")).alias("label"), F.lit("code").alias("kind"), "path", loc, "line")
+    member = facts.where("fact in ('member', 'property')")
+    called = F.concat(F.lit("."), F.col("name"), F.when(F.col("fact") == "member", "()").otherwise(""))
+    member = member.select("corpus", _id(file_id, F.col("owner"), F.col("name")).alias("id"), called.alias("label"), F.lit("code").alias("kind"), "path", loc, "line")
     said = facts.where("fact = 'rationale'")
     said = said.select("corpus", _id(file_id, F.lit("rationale"), F.col("line").cast("string")).alias("id"), F.col("text").alias("label"), F.lit("rationale").alias("kind"), "path", loc, "line")
     every = own.unionByName(top).unionByName(member).unionByName(said)
@@ -124,7 +125,7 @@ def raw_links(files: DataFrame, facts: DataFrame) -> DataFrame:
     owner = F.when(c("owner") == "", c("file")).otherwise(_id(c("file"), F.replace("owner", F.lit("."), F.lit("_"))))
     top = facts.where(c("fact").isin("function", "class", "type", "value"))
     link(top, c("file"), _id(c("file"), c("name")), "contains")
-    link(facts.where("fact = 'member'"), _id(c("file"), c("owner")), _id(c("file"), c("owner"), c("name")), "method")
+    link(facts.where("fact in ('member', 'property')"), _id(c("file"), c("owner")), _id(c("file"), c("owner"), c("name")), "method")
     link(facts.where("fact = 'rationale'"), _id(c("file"), F.lit("rationale"), c("line").cast("string")), owner, "rationale_for")
     for rel in ("references", "calls"):
         link(facts.where("fact = 'decorator'"), owner, _id(c("scope"), c("name")), rel)

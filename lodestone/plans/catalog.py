@@ -597,9 +597,14 @@ def extract_python(spark, d):
     return _extracted(spark, files, code_facts.from_python(files))
 
 
-@query("""WITH s AS (SELECT concat('app_supplier_', s_suppkey) AS f, concat('lib_nation_', s_nationkey) AS n FROM supplier), n AS (SELECT concat('lib_nation_', n_nationkey) AS n FROM nation)
-SELECT 'js' AS corpus, s, t, rel, 'EXTRACTED' AS conf FROM (SELECT f AS s, n AS t, 'imports_from' AS rel FROM s UNION ALL SELECT f, concat(n, '_helper'), 'imports' FROM s
-UNION ALL SELECT f, concat(f, '_run'), 'contains' FROM s UNION ALL SELECT concat(f, '_run'), concat(n, '_helper'), 'calls' FROM s UNION ALL SELECT n, concat(n, '_helper'), 'contains' FROM n) q""")
+@query("""WITH s AS (SELECT concat('app_supplier_', s_suppkey) AS f, concat('lib_nation_', s_nationkey) AS n FROM supplier), n AS (SELECT concat('lib_nation_', n_nationkey) AS n FROM nation),
+links(place, s, t, rel) AS (VALUES ('f', '', '>', 'imports_from'), ('f', '', '>_helper', 'imports'), ('f', '', '>', 'imports_type'), ('f', '', '>_shape', 'imports_type'),
+  ('f', '', '_pick', 'contains'), ('f', '', '_agent', 'contains'), ('f', '', '_page', 'contains'), ('f', '', '_panel', 'contains'), ('f', '_agent', '_agent_run', 'method'),
+  ('f', '_agent', '=base', 'inherits'), ('f', '_pick', '>_helper', 'calls'), ('f', '_agent_run', '_pick', 'calls'), ('f', '_page', '_panel', 'calls'), ('f', '_panel', '>_helper', 'calls'),
+  ('n', '', '_helper', 'contains'), ('n', '', '_shape', 'contains'), ('n', '_shape', '_shape_name', 'method'), ('n', '_shape', '=thing', 'inherits')),
+files AS (SELECT 'f' AS place, f, n FROM s UNION ALL SELECT 'n', n, NULL FROM n)
+SELECT 'js' AS corpus, concat(f, s) AS s, CASE left(t, 1) WHEN '>' THEN concat(n, substr(t, 2)) WHEN '=' THEN substr(t, 2) ELSE concat(f, t) END AS t, rel, 'EXTRACTED' AS conf
+FROM files JOIN links USING (place)""")
 def extract_javascript(spark, d):
     files = fx.load(spark, d, fx.JAVASCRIPT)
     return _extracted(spark, files, code_facts.from_javascript(files))

@@ -84,10 +84,46 @@ PYTHON = f"""SELECT 'py' AS corpus, concat('pkg/nation_', {_text("n_nationkey")}
   concat('def helper():', chr(10), '    return ', {_text("n_nationkey")}, chr(10)) AS src FROM {{nation}}
 UNION ALL SELECT 'py', concat('pkg/users/supplier_', {_text("s_suppkey")}, '.py'),
   concat('from nation_', {_text("s_nationkey")}, ' import helper', chr(10), chr(10), 'def run():', chr(10), '    return helper()', chr(10)) FROM {{supplier}}"""
-JAVASCRIPT = f"""SELECT 'js' AS corpus, concat('lib/nation_', {_text("n_nationkey")}, '.ts') AS path,
-  concat('export function helper() {{{{', chr(10), '  return ', {_text("n_nationkey")}, ';', chr(10), '}}}}', chr(10)) AS src FROM {{nation}}
-UNION ALL SELECT 'js', concat('app/supplier_', {_text("s_suppkey")}, '.tsx'),
-  concat('import {{{{ helper }}}} from ''../lib/nation_', {_text("s_nationkey")}, ''';', chr(10), 'export function run() {{{{', chr(10), '  return helper();', chr(10), '}}}}', chr(10)) FROM {{supplier}}"""
+
+
+def _source(text: str, number: str) -> str:
+    """SQL of a source text in which $N stands for a number."""
+    quoted = text.replace("'", "''").replace("{", "{{").replace("}", "}}")
+    return "concat('" + quoted.replace("$N", f"', {_text(number)}, '") + "')"
+
+
+_LIBRARY = """/* function none() {} */
+export function helper() {
+  return $N;
+}
+export interface Shape extends Thing {
+  name: string;
+}
+"""
+_APP = """import { helper } from '../lib/nation_$N';
+import type {
+  Shape,
+} from '../lib/nation_$N';
+export const pick = async (
+  a: number,
+): Promise<number> => {
+  return helper(a) + 'Page()';
+};
+export class Agent extends Base {
+  run(x: number): { y: number } {
+    return pick(x);
+  }
+}
+export function Page() {
+  return <Panel a={1} />;
+}
+Page();
+const Panel = () => {
+  return helper(2);
+};
+"""
+JAVASCRIPT = f"""SELECT 'js' AS corpus, concat('lib/nation_', {_text("n_nationkey")}, '.ts') AS path, {_source(_LIBRARY, "n_nationkey")} AS src FROM {{nation}}
+UNION ALL SELECT 'js', concat('app/supplier_', {_text("s_suppkey")}, '.tsx'), {_source(_APP, "s_nationkey")} FROM {{supplier}}"""
 
 
 def names(sql: str) -> set[str]:

@@ -1,7 +1,6 @@
 """Facts about source files: declarations, imports, calls, annotations. Names are resolved elsewhere, by joins.
 
-Python is read by the interpreter's own parser, a file at a time; JavaScript and TypeScript line by line with Spark's
-regular expressions (top-level declarations start a line).
+A file at a time: Python by the interpreter's own parser, JavaScript and TypeScript by the reader in ``javascript``.
 """
 
 from __future__ import annotations
@@ -9,9 +8,11 @@ from __future__ import annotations
 import ast
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .javascript import javascript_facts
+
 #: One table for all facts: what is null depends on the sort of fact.
 FACT = "corpus string, path string, fact string, owner string, name string, module string, alias string, line int, text string"
 _NAMES = [part.split()[0] for part in FACT.split(", ")]
@@ -102,76 +103,26 @@ def python_facts(path: str, src: str) -> list[dict]:
     return [{"path": path, **f} for f in facts]
 
 
-def _python(batches):
+def _facts(batches, read):
     for batch in batches:
         rows = []
         for corpus, path, src in zip(*(batch.column(c).to_pylist() for c in ("corpus", "path", "src")), strict=True):
-            rows += [{"corpus": corpus, **f} for f in python_facts(path, src or "")]
+            rows += [{"corpus": corpus, **f} for f in read(path, src or "")]
         yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
+def _python(batches):
+    yield from _facts(batches, python_facts)
+
+
 def from_python(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py")).select("corpus", "path", "src").mapInArrow(_python, FACT)
 
 
-_EXPORT = r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
-_DECLARED = {
-    "function": _EXPORT + r"(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)",
-    "class": _EXPORT + r"(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)",
-    "type": _EXPORT + r"(?:interface|type|enum|const\s+enum)\s+([A-Za-z_$][\w$]*)",
-    "arrow": _EXPORT + r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)?\s*(?::[^=]+)?(?:=>|function)",
-    "value": _EXPORT + r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:new\s|\{|\[|[A-Za-z_$][\w$.]*\()",
-}
-_IMPORT = r"""^import\s+(type\s+)?(?:(.*?)\s+from\s+)?['"]([^'"]+)['"]"""
-_CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\("
-_JSX = r"<([A-Z][\w$]*)"
-_NO_CALLS = "if for while switch catch return function typeof new await super constructor import".split()
+def _javascript(batches):
+    yield from _facts(batches, javascript_facts)
 
 
 def from_javascript(files: DataFrame) -> DataFrame:
-    """Declarations at the start of a line, members of classes one level in, imports (of several lines too) and calls
-    inside the declaration they stand in. Comments are blanked first."""
     marked = F.col("path").rlike(r"\.(m|c)?[jt]sx?$")
-    src = F.regexp_replace(F.regexp_replace("src", r"(?m)^\s*//.*$", ""), r"(?s)/\*.*?\*/", "")
-    src = F.regexp_replace(src, r"(import\s[^;'\"]*?)\n\s*", "$1 ")  # imports of several lines on one
-    src = F.regexp_replace(F.regexp_replace(F.regexp_replace(src, r"(import\s[^;'\"]*?)\n\s*", "$1 "), r"(import\s[^;'\"]*?)\n\s*", "$1 "), r"(import\s[^;'\"]*?)\n\s*", "$1 ")
-    lines = files.where(marked).select("corpus", "path", F.posexplode(F.split(src, "\n")).alias("pos", "raw"))
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for sort, pattern in reversed(_DECLARED.items()):
-        met = F.regexp_extract("raw", pattern, 1)
-        kind, name = F.when(met != "", sort).otherwise(kind), F.when(met != "", met).otherwise(name)
-    lines = lines.withColumns({"kind": kind, "declared": name})
-    here = Window.partitionBy("corpus", "path").orderBy("pos")
-    lines = lines.withColumns({
-        "outer": F.last("declared", True).over(here), "outer_kind": F.last("kind", True).over(here),
-        "imported": F.regexp_extract("raw", _IMPORT, 3),
-    })
-    member = F.regexp_extract("raw", r"^(?:  |\t|    )(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*([A-Za-z_$#][\w$]*)\s*\([^)]*\)\s*(?::[^{]+)?\{\s*$", 1)
-    lines = lines.withColumn("member", F.when((F.col("outer_kind") == "class") & ~member.isin("", *_NO_CALLS), member))
-    inner = F.last("member", True).over(Window.partitionBy("corpus", "path", "outer").orderBy("pos"))
-    lines = lines.withColumn("owner", F.coalesce(F.when(F.col("outer_kind") == "class", F.concat("outer", F.lit("."), inner)), "outer"))
-    line, none = (F.col("pos") + 1).cast("int").alias("line"), F.lit(None).cast("string")
-
-    def fact(sort, rows, owner=F.lit(""), name=none, module=none, alias=none):
-        return rows.select("corpus", "path", sort.alias("fact"), owner.alias("owner"), name.alias("name"), module.alias("module"), alias.alias("alias"), line, none.alias("text"))
-
-    declared = lines.where("declared is not null")
-    out = fact(F.when(F.col("kind") == "arrow", "function").otherwise(F.col("kind")), declared, name=F.col("declared"))
-    base = F.regexp_extract("raw", r"\bextends\s+([A-Za-z_$][\w$]*)", 1)
-    out = out.unionByName(fact(F.lit("base"), declared.where(F.col("kind").isin("class", "type") & (base != "")), F.col("declared"), base))
-    out = out.unionByName(fact(F.lit("member"), lines.where("member is not null"), F.col("outer"), F.col("member")))
-    clause, only = F.regexp_extract("raw", _IMPORT, 2), F.regexp_extract("raw", _IMPORT, 1) != ""
-    imports = lines.where("imported <> ''").withColumns({"clause": clause, "only": only})
-    out = out.unionByName(fact(F.when(F.col("only"), "import_type").otherwise("import_module"), imports, module=F.col("imported")))
-    braces = F.regexp_extract("clause", r"\{([^}]*)\}", 1)
-    parts = imports.withColumn("part", F.explode(F.split(braces, ","))).withColumn("part", F.trim("part")).where("part <> ''")
-    symbol = F.regexp_extract("part", r"^(?:type\s+)?([A-Za-z_$][\w$]*)", 1)
-    typed = F.col("only") | F.col("part").rlike(r"^type\s")
-    out = out.unionByName(fact(F.when(typed, "symbol_type").otherwise("symbol"), parts, name=symbol, module=F.col("imported")))
-    default = F.regexp_extract("clause", r"^([A-Za-z_$][\w$]*)", 1)
-    out = out.unionByName(fact(F.lit("symbol"), imports.where((default != "") & ~F.col("only")), name=default, module=F.col("imported")))
-    inside = lines.where("owner is not null and imported = ''").withColumn("said", F.when(F.col("declared").isNotNull() | F.col("member").isNotNull(), F.regexp_extract("raw", r"(?:=>|\{)(.*)$", 1)).otherwise(F.col("raw")))
-    calls = inside.withColumn("called", F.explode(F.regexp_extract_all("said", F.lit(_CALL), 1))).where(~F.col("called").isin(_NO_CALLS))
-    out = out.unionByName(fact(F.lit("call"), calls, F.col("owner"), F.col("called")))
-    tags = inside.withColumn("tag", F.explode(F.regexp_extract_all("said", F.lit(_JSX), 1)))
-    return out.unionByName(fact(F.lit("jsx"), tags, F.col("owner"), F.col("tag")))
+    return files.where(marked).select("corpus", "path", "src").mapInArrow(_javascript, FACT)

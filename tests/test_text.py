@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import time
 import zipfile
 from collections import Counter
 from datetime import datetime, timedelta
@@ -14,6 +15,7 @@ from lodestone.functions import text as T
 from lodestone.operators import docgraph, extract, history, knowledge, mentions, search, tree
 from lodestone.plans import storage
 from lodestone.sources import code_facts, ingest, reports
+from lodestone.sources.javascript import javascript_facts
 from lodestone.streaming import builds
 
 FILE = "corpus string, path string, src string"
@@ -262,6 +264,71 @@ def test_javascript_links(spark):
     assert not any("gone" in t for _, t, _ in links)
 
 
+TYPED = r"""import React, { useState as state, type Pen } from 'react'
+import * as all
+  from './all';
+export const area = async (
+  a: number,
+  b = { x: 1 },
+): Promise<{ n: number }> => {
+  const s = `not ${helper(`x ${inner()}`)} called()`;
+  const r = /fake\\(call(/.test(s);
+  return draw(a) + 'no(call())' + typed<string>("x") + obj.method(1);
+}
+function one() {}
+boot();
+export abstract class Canvas<T> extends Base implements I<{}> {
+  @Input() name: string;
+  private field = make(1)
+  handler = (e) => { area(e) }
+  constructor(private x: number) { super(); one(); }
+  static async paint<T>(x: T): Promise<{ a: 1 }> { if (x) { two(x); } }
+  abstract gone(): void;
+}
+class Second { run() { new Canvas(); one() } }
+export interface Opts extends A, B<C> { readonly a: string; b?: number
+  run(x: number): void }
+type U = { a: 1 } | 'x'
+export const enum E { A, B }
+declare function sig(a: string): void;
+const api = axios.create({ a: one() }), list = [1, 2], both: Map<a, b> = new Map()
+const fixed = { a: 1 } as const, plain = 5;
+let a1, fx = function () { return one() }
+const App = () => {
+  return <div>Don't (<Panel a={1} /> <ns.Foo/> {list.map(x => <Item key={x}>it's</Item>)}</div>;
+};
+const last = x => one(x)
+two()
+"""
+
+
+def test_javascript_facts():
+    found = javascript_facts("a.tsx", TYPED)
+    named = {sort: [f["name"] for f in found if f["fact"] == sort] for sort in ("function", "class", "type", "value", "symbol", "symbol_type", "base", "property")}
+    assert named == {
+        "function": ["area", "one", "sig", "fx", "App", "last"], "class": ["Canvas", "Second"], "type": ["Opts", "U", "E"], "value": ["api", "list", "both"],
+        "symbol": ["React", "useState"], "symbol_type": ["Pen"], "base": ["Base", "A", "B"], "property": ["a", "b", "run"],
+    }
+    assert [(f["owner"], f["name"]) for f in found if f["fact"] == "member"] == [("Canvas", "constructor"), ("Canvas", "paint"), ("Second", "run")]
+    calls = [(f["owner"], f["name"]) for f in found if f["fact"] == "call"]
+    assert set(calls) == {
+        ("area", "helper"), ("area", "inner"), ("area", "draw"), ("area", "typed"), ("Canvas.constructor", "one"), ("Canvas.paint", "two"),
+        ("Second.run", "one"), ("fx", "one"), ("last", "one"), ("App", "t"),
+    }
+    assert {f["name"] for f in found if f["fact"] == "jsx"} == {"div", "Panel", "Item"}
+    assert {f["line"] for f in found if f["name"] == "paint"} == {19}
+
+
+@pytest.mark.parametrize("part", ["'\\", "{", "a<", "`${", "const a = ", "/*", "class A { y(", "function f() { f(", "function f() { return a<", "let a, b, ", "interface A { b", "<i ", ")"])
+def test_javascript_reading_takes_linear_time(part):
+    def seconds(size):
+        start = time.process_time()
+        javascript_facts("a.tsx", part * (size // len(part)))
+        return time.process_time() - start
+
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.05)
+
+
 def test_ambiguous_modules_resolve_to_none_or_the_nearest(spark):
     f = files(spark, **{"a/util.py": "", "b/util.py": "", "a/m.py": "import util\n", "m.py": "import util\n"})
     links = {(r["s"], r["t"]) for r in extract.raw_links(f, code_facts.from_python(f)).collect()}
