@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
@@ -47,3 +47,10 @@ def blast_radius(edges: DataFrame, roots: DataFrame, depth: int = 3, direction:
 def rings(reached: DataFrame) -> DataFrame:
     """How many entities each hop adds, and how many of them for certain."""
     return reached.groupBy("corpus", "root_set", "depth").agg(F.count("*").alias("n"), F.count_if("certain").alias("n_certain"))
+
+
+def ring_order(reached: DataFrame, radii: DataFrame) -> DataFrame:
+    """The entities of each ring by size, largest first: radii(corpus, id, r), ties by id. Each ring is numbered from 1."""
+    order = Window.partitionBy("corpus", "root_set", "depth").orderBy(F.desc("r"), "id")
+    out = reached.join(radii.select("corpus", "id", "r"), ["corpus", "id"]).withColumn("rank", F.row_number().over(order))
+    return out.select("corpus", "root_set", "depth", "id", "r", "rank")

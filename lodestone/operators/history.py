@@ -74,6 +74,11 @@ def upsert(builds: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max_by(F.struct(*rest), "saved_at").alias("row")).select("id", "row.*").select(*both.columns)
 
 
+def without(builds: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The builds whose id is not among gone(id), of which nulls and unknown ids do nothing; none at all without ``gone``."""
+    return builds.limit(0) if gone is None else builds.join(gone.select("id"), "id", "left_anti").select(*builds.columns)
+
+
 def versions_by_name(builds: DataFrame) -> DataFrame:
     return builds.groupBy("name").agg(F.count("*").alias("versions"), F.sum("bytes").alias("bytes"), F.max("saved_at").alias("latest"))
 

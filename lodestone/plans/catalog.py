@@ -674,3 +674,15 @@ shown AS (SELECT corpus, path FROM hit UNION SELECT h.corpus, array_to_string(st
 SELECT tree.* FROM tree SEMI JOIN shown ON shown.path = tree.path""")
 def filtered_tree(spark, d):
     return tree.filtered(tree.entries(fx.load(spark, d, fx.PATHS)).drop("rank"), "EN/1")
+
+
+@query(_blast_sql("in", _ROOTS, 2, """SELECT corpus, root_set, depth, id, r, CAST(row_number() OVER (PARTITION BY root_set, depth ORDER BY r DESC, id) AS INTEGER) AS rank
+FROM reached JOIN (SELECT id, round(3 + sqrt(degree / (SELECT max(degree) FROM degree)) * 14, 2) AS r FROM degree) d USING (id)"""))
+def ring_order(spark, d):
+    return blast.ring_order(_blast(spark, d, _ROOTS, 2, "in"), graph.radii(Star(spark, d).degrees))
+
+
+@query(f"WITH builds AS ({fx.duck(fx.BUILDS)}) SELECT * FROM builds WHERE NOT bytes > 5000000")
+def build_delete(spark, d):
+    builds = fx.load(spark, d, fx.BUILDS)
+    return history.without(builds, builds.where("bytes > 5000000"))

@@ -427,3 +427,10 @@ def test_running_sums_over_ranges(spark):
     rows = [("a", k, k % 5 + 1) for k in range(100)] + [("b", k, 1) for k in range(7)]
     found = storage.running_sum(spark.createDataFrame(rows, "g string, k long, v long").repartition(7), "g", ["k"], "v", "sum").collect()
     assert {(r["g"], r["k"]): r["sum"] for r in found} == {(g, k): sum(v for h, j, v in rows if h == g and j <= k) for g, k, _ in rows}
+
+
+def test_builds_are_deleted_by_id_or_all(spark):
+    saved = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, bytes long")
+    gone = spark.createDataFrame([("a",), ("x",), (None,)], "id string")
+    assert sorted(r["bytes"] for r in history.without(saved, gone).collect()) == [2, 3]
+    assert history.without(saved).count() == 0
