@@ -39,6 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote and that no further plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files of plans that nothing refers to any more. It does so when the driver collects
     its garbage, which may be long after the next shuffle has been written beside them. Spark's listeners hold on to
@@ -122,7 +131,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        pairs = materialize(small.where("u <> v").distinct(), label)
+        before, pairs = pairs, materialize(small.where("u <> v").distinct(), label)
+        discard(before)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == seen:
             break
