@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, packing, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, token_counts
+from . import alignment, clustering, decontamination, html, packing, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, token_counts, warc
 from .common import table
 
 
@@ -50,10 +50,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.Alignment(table(spark, sf_dir, "documents")).scores()
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts, op2_secrets, op3_simhash, op4_html, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules,
-        op8_decontamination, op9_substring_dedup, op10_packing,
+        op8_decontamination, op9_substring_dedup, op10_packing, op11_alignment, op12_warc, op13_clustering,
     ]
     return {f.__name__: f for f in found}
 
