@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..plans.storage import materialize
 from .graph import usage
 
 TOP = 10
+#: Labels that travel each way at once, and steps to a round.
+PIVOTS, HOPS = 3, 4
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -21,54 +25,73 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _least_reaching(edges: DataFrame, label: str) -> DataFrame:
-    """(corpus, id, least): the least id from which each end of an edge is reached, itself included.
+def _settled(edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """(corpus, id, k, label) and the rounds it took: for each of 2 x PIVOTS label numbers k, the least label (a hash and its
+    owner) that reaches the entity along the edges, or for odd k against them.
 
-    Labels travel along edges and, by the label's own label, twice as far each round (pointer doubling), so rounds grow
-    with the logarithm of the longest path.
+    A label goes on to all neighbours and, through its owner, to whatever has that owner's new label. As hashes are strewn,
+    the stretch a label covers grows by a factor each time, also along one long path. A round is HOPS such steps.
     """
-    start = edges.select("corpus", F.explode(F.array("s", "t")).alias("id")).distinct()
-    labels = materialize(start.withColumn("least", F.col("id")), label)
+    arcs = edges.select("corpus", F.col("s").alias("x"), F.col("t").alias("y"), F.lit(0).alias("d"))
+    arcs = arcs.unionByName(edges.select("corpus", F.col("t").alias("x"), F.col("s").alias("y"), F.lit(1).alias("d")))
+    number = F.explode(F.sequence(F.lit(0), F.lit(2 * PIVOTS - 1))).alias("k")
+    ids = edges.select("corpus", F.explode(F.array("s", "t")).alias("id")).distinct().select("corpus", "id", number)
+    hashed = F.xxhash64("id", F.lit(turn), F.floor(F.col("k") / 2))
+    labels = ids.select("corpus", "id", "k", F.struct(hashed.alias("hash"), F.col("id").alias("owner")).alias("label"))
+    rounds = 0
     while True:
-        pushed = edges.join(labels.withColumnRenamed("id", "s"), ["corpus", "s"]).select("corpus", F.col("t").alias("id"), "least")
-        # Whoever reaches a label's owner reaches the label's holder too.
-        jumped = labels.join(labels.select("corpus", F.col("id").alias("least"), F.col("least").alias("further")), ["corpus", "least"])
-        all_ = labels.unionByName(pushed).unionByName(jumped.select("corpus", "id", F.col("further").alias("least")))
-        new = materialize(all_.groupBy("corpus", "id").agg(F.min("least").alias("least")), label)
-        changed = new.join(labels, ["corpus", "id", "least"], "left_anti").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        rounds += 1
+        for _ in range(HOPS):
+            own = labels.select("corpus", "id", "k", "label", F.lit(True).alias("own"))
+            at = labels.select("corpus", F.col("id").alias("x"), "k", "label", (F.col("k") % 2).alias("d"))
+            pushed = arcs.join(at, ["corpus", "x", "d"]).select("corpus", F.col("y").alias("id"), "k", "label", F.lit(False).alias("own"))
+            owners = labels.select("corpus", "k", F.col("id").alias("owner"), F.col("label").alias("further"))
+            jumped = labels.withColumn("owner", F.col("label.owner")).join(owners, ["corpus", "k", "owner"])
+            jumped = jumped.select("corpus", "id", "k", F.col("further").alias("label"), F.lit(False).alias("own"))
+            grouped = own.unionByName(pushed).unionByName(jumped).groupBy("corpus", "id", "k")
+            labels = grouped.agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("was"))
+            labels = labels.select("corpus", "id", "k", "label", (F.col("was") != F.col("label")).alias("moved"))
+        labels = materialize(labels, "cycle-labels")
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved"), rounds
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(corpus, id, component) of every entity in a cycle of two or more over usage edges; component is the least id.
+def strong_components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(corpus, id, component) of every entity in a cycle of two or more over ``edges`` (corpus, s, t), component being the
+    least id in it, and the number of rounds.
 
-    Colour every entity by the least id that reaches it. An entity that reaches its colour's owner, inside the colour, is
-    in the owner's component: the same labels on turned edges tell, again in logarithmic rounds. Components found leave,
-    and edges between colours with them; the rest goes on.
+    Every entity is a pivot, ranked by hashes that are drawn anew each time. Who has the same label along the edges and
+    against them is in its owner's component, all of which is found so and leaves. Entities whose labels differ are never
+    in one component, so edges between them leave too, and what is left falls into parts at random places: rounds grow
+    with the logarithm of the entities on long cycles and on long chains of small components alike.
     """
-    left = usage(edges).where("s <> t").select("corpus", "s", "t").distinct()
+    left = edges.where("s <> t").select("corpus", "s", "t").distinct()
     left = materialize(_trimmed(left), "cycle-edges")
-    found = None
+    found, rounds, turn = [], 0, 0
     while not left.isEmpty():
-        colour = _least_reaching(left, "cycle-colours").withColumnRenamed("least", "colour")
-        inner = left.join(colour.withColumnRenamed("id", "s").withColumnRenamed("colour", "cs"), ["corpus", "s"])
-        inner = inner.join(colour.withColumnRenamed("id", "t").withColumnRenamed("colour", "ct"), ["corpus", "t"]).where("cs = ct")
-        inner = materialize(inner.select("corpus", F.col("cs").alias("colour"), "s", "t"), "cycle-inner")
-        # The owner is the least id of its colour, so whoever reaches it has it as the least id it reaches.
-        back = _least_reaching(inner.select("corpus", F.col("t").alias("s"), F.col("s").alias("t")), "cycle-back")
-        reached = materialize(back.join(colour, ["corpus", "id"]).where("least = colour").select("corpus", "colour", "id"), "cycle-back")
-        part = reached.join(reached.groupBy("corpus", "colour").agg(F.count("*").alias("n")).where("n > 1"), ["corpus", "colour"])
-        part = materialize(part.select("corpus", "id", F.col("colour").alias("component")), "cycle-found")
-        found = part if found is None else found.unionByName(part)
-        gone = reached.select("corpus", "id")
-        rest = inner.select("corpus", "s", "t")
-        for end in ("s", "t"):
-            rest = rest.join(gone.withColumnRenamed("id", end), ["corpus", end], "left_anti")
-        left = materialize(_trimmed(rest), "cycle-edges")
-    none = edges.select("corpus", F.col("s").alias("id"), F.col("s").alias("component")).limit(0)
-    return none if found is None else found
+        labels, more = _settled(left, turn)
+        rounds, turn = rounds + more, turn + 1
+        each = [F.max(F.when(F.col("k") == k, F.col("label.owner"))).alias(f"l{k}") for k in range(2 * PIVOTS)]
+        owners = labels.groupBy("corpus", "id").agg(*each)
+        # Several numbers may find a component, each all of it; the first one names it.
+        pivot = F.coalesce(*[F.when(F.col(f"l{k}") == F.col(f"l{k + 1}"), F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("owner"))) for k in range(0, 2 * PIVOTS, 2)])
+        owners = owners.select("corpus", "id", F.struct(*[f"l{k}" for k in range(2 * PIVOTS)]).alias("all"), pivot.alias("pivot"))
+        owners = materialize(owners, "cycle-owners")
+        found.append(owners.where("pivot IS NOT NULL").select("corpus", "id", F.lit(turn).alias("turn"), "pivot"))
+        rest = owners.where("pivot IS NULL").select("corpus", "id", "all")
+        side = lambda end: rest.select("corpus", F.col("id").alias(end), F.col("all").alias(f"at_{end}"))  # noqa: E731, B023
+        left = left.join(side("s"), ["corpus", "s"]).join(side("t"), ["corpus", "t"]).where("at_s = at_t").select("corpus", "s", "t")
+        left = materialize(_trimmed(left), "cycle-edges")
+    if not found:
+        return edges.select("corpus", F.col("s").alias("id"), F.col("s").alias("component")).limit(0), 0
+    members = reduce(DataFrame.unionByName, found)
+    sizes = members.groupBy("corpus", "turn", "pivot").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return members.join(sizes, ["corpus", "turn", "pivot"]).select("corpus", "id", "component"), rounds
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``strong_components`` of the usage edges."""
+    return strong_components(usage(edges))[0]
 
 
 def cycles(nodes: DataFrame, edges: DataFrame, n: int = TOP) -> DataFrame:

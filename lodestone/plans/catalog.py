@@ -267,6 +267,14 @@ def dependency_cycles(spark, d):
     return cycles.cycles(s.own, s.edges)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT corpus, s, t FROM ({fx.duck(fx.NATION_LINKS)}) l WHERE s <> t),
+walk AS (SELECT corpus, s, t FROM e UNION SELECT w.corpus, w.s, e.t FROM walk w JOIN e ON e.corpus = w.corpus AND e.s = w.t),
+same AS (SELECT a.corpus, a.s AS id, least(a.s, min(a.t)) AS component FROM walk a JOIN walk b ON b.corpus = a.corpus AND b.s = a.t AND b.t = a.s WHERE a.s <> a.t GROUP BY a.corpus, a.s)
+SELECT corpus, id, component FROM same""")
+def nation_cycles(spark, d):
+    return cycles.components(fx.load(spark, d, fx.NATION_LINKS))
+
+
 _DIFF = f"WITH n0 AS ({fx.duck(fx.NODES_BEFORE)}), n1 AS ({fx.duck(fx.NODES_AFTER)}), e0 AS ({fx.duck(fx.EDGES_BEFORE)}), e1 AS ({fx.duck(fx.EDGES_AFTER)}), m AS ({fx.duck(fx.COMMUNITIES)})\n"
 
 

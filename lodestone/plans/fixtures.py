@@ -42,6 +42,11 @@ UNION ALL SELECT 'star', concat('supplier_', {_text("l_suppkey")}), concat('ref_
   FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
 UNION ALL SELECT 'star', concat('customer_', {_text("c_custkey")}), concat(lower(c_mktsegment), CASE WHEN c_mktsegment < 'F' THEN '_py_get' ELSE '_py_note' END), 'references', 'EXTRACTED'
   FROM {{customer}}) q"""
+#: Suppliers that follow each other in an order and are of one nation: a corpus for each nation.
+NATION_LINKS = f"""SELECT DISTINCT concat('nation_', {_text("x.s_nationkey")}) AS corpus, concat('supplier_', {_text("a.l_suppkey")}) AS s, concat('supplier_', {_text("b.l_suppkey")}) AS t,
+  'references' AS rel, 'EXTRACTED' AS conf
+  FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  JOIN {{supplier}} x ON x.s_suppkey = a.l_suppkey JOIN {{supplier}} y ON y.s_suppkey = b.l_suppkey WHERE x.s_nationkey = y.s_nationkey"""
 COMMUNITIES = "SELECT 'star' AS corpus, n_nationkey AS community, n_name AS label FROM {nation}"
 
 _BEFORE, _AFTER = "l_shipdate < TIMESTAMP '1998-01-01 00:00:00'", "l_shipdate < TIMESTAMP '2000-01-01 00:00:00' AND l_returnflag <> 'A'"
