@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ GRAM = 10
 GATHER = 1 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of words whose hashes a task remembers.
+REMEMBERED = 64 << 20
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -36,23 +38,32 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of a text buffer, and the offsets of rows in the words.
+class _Hashes(dict):
+    """XXH64 of words met lately. A polynomial over a word's bytes would let long words of one letter pattern collide."""
 
-    A word's hash is that of its bytes as a polynomial, from the difference of two running sums.
-    """
-    n = len(data)
-    space = np.ones(n + 2, dtype=bool)
-    space[1:-1] = _SPACE[data]
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[offsets] = True
-    starts = np.flatnonzero(~space[1:-1] & (space[:-2] | cut[:-1]))
-    ends = np.flatnonzero(~space[1:-1] & (space[2:] | cut[1:])) + 1
-    power, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    return mixed(mixed(hashes) + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    def __init__(self):
+        super().__init__()
+        self.size = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.size += len(word) + 100
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of a text buffer, and the offsets of rows in the words."""
+    whole, ends = data.tobytes(), offsets.tolist()
+    words = [whole[a:b].split() for a, b in zip(ends, ends[1:], strict=False)]  # of bytes: at the six white spaces of ASCII
+    counts = np.array([0, *map(len, words)], dtype=np.int64)
+    hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum()))
+    return hashes, np.cumsum(counts)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):

@@ -143,3 +143,12 @@ def test_words_are_split_as_bytes_are():
     hashes, rows = substring_dedup.word_hashes(np.frombuffer(data, dtype=np.uint8), offsets)
     assert np.diff(rows).tolist() == [len(t.encode().split()) for t in texts]
     assert len(set(hashes.tolist())) == len({w for t in texts for w in t.encode().split()})
+
+
+def test_words_that_differ_in_a_balanced_pattern(documents):
+    """Polynomials modulo a power of two take such words for equal: letters by the parity of the bits of their place."""
+    bits = ["ab"[i.bit_count() & 1] for i in range(2048)]
+    first, second = "".join(bits), "".join("ab"[c == "a"] for c in bits)
+    rows = [(1, " ".join([f"w{i}" for i in range(19)] + [first])), (2, " ".join([f"w{i}" for i in range(19)] + [second]))]
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(documents(rows)).collect()} == {1: 0, 2: 0}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(documents([*rows, (3, rows[1][1])])).collect()} == {1: 0, 2: 0, 3: 20}
