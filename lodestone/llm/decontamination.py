@@ -14,9 +14,14 @@ from pyspark.sql import types as T
 from . import bitmap
 from .common import documents_of, fresh, materialize, slices
 
-#: Template tokens of a window. One with fewer literals than LITERALS (in shorter items three quarters), so mostly
-#: of placeholders, would meet every table of numbers: it is looked up by its own words instead of its template.
+#: Template tokens of a window, and how many of them are literals at least (in items of fewer tokens three quarters).
 WINDOW, LITERALS = 8, 5
+#: Where placeholders leave fewer, the window grows along these sizes until it has enough. Items that such windows do not
+#: cover are looked up nearly whole, at the largest of the sizes that they hold, with WHOLE literals at least.
+SIZES = (5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64)
+WHOLE = 2
+#: How a window is looked up: by its template, by its own words, or by its template as (nearly) a whole item.
+TEMPLATE, OWN, ALL = range(3)
 #: Share of an item's tokens that windows must cover, and of its slots that must be filled consistently.
 COVERAGE, CONSISTENT = 0.6, 0.8
 
@@ -38,6 +43,7 @@ UNITS = frozenset(
 )
 _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‘’…-–—_*~|/\\"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def canonical(word: str) -> tuple[int, str]:
@@ -71,39 +77,80 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def _rolled(tokens: np.ndarray, size: int, seed: int) -> np.ndarray:
-    n = len(tokens) - size + 1
-    out = np.full(n, seed, dtype=np.uint64)
-    for j in range(size):
-        out = out * _BASE + tokens[j : j + n]
-    return out ^ (out >> np.uint64(29))
-
-
-def windows_of(words: list[str], sizes: tuple[int, ...], filled: np.ndarray | None = None) -> dict[int, list[list[int]]]:
-    """For each size, [start, hash] of every window: of its template, or of its own words where it has too few literals.
-    With ``filled`` those in that bitmap."""
-    both = np.array([_TOKENS[w] for w in words], dtype=np.uint64).reshape(-1, 2)
-    template, own = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-    literal = np.concatenate([[0], np.cumsum((template & np.uint64(3)) == LITERAL)])
-    out = {}
-    for size in sizes:
-        if len(words) < size or not size:
+class _Rolling:
+    """Hashes of the windows of any size of one text, from running sums."""
+
+    def __init__(self, words: list[str]):
+        both = np.array([_TOKENS[w] for w in words], dtype=np.uint64).reshape(-1, 2)
+        n = len(words)
+        power = np.full(n + 1, _BASE, dtype=np.uint64)
+        power[0] = 1
+        power, back = np.cumprod(power, dtype=np.uint64), np.full(n + 1, _INVERSE, dtype=np.uint64)
+        back[0] = 1
+        self.back = np.cumprod(back, dtype=np.uint64)
+        self.sums = np.zeros((2, n + 1), dtype=np.uint64)
+        for k in (0, 1):
+            np.cumsum(both[:, k] * power[:n], dtype=np.uint64, out=self.sums[k, 1:])
+        self.literal = np.concatenate([[0], np.cumsum((both[:, 0] & np.uint64(3)) == LITERAL)])
+        self.n = n
+
+    def literals(self, size: int) -> np.ndarray:
+        return self.literal[size:] - self.literal[: self.n + 1 - size]
+
+    def hashes(self, size: int, how: int) -> np.ndarray:
+        sums = self.sums[int(how == OWN)]
+        out = (sums[size:] - sums[: self.n + 1 - size]) * self.back[: self.n + 1 - size]
+        out = (out ^ (out >> np.uint64(31))) * _BASE + np.uint64(size * 4 + how)
+        return out ^ (out >> np.uint64(29))
+
+
+def _least(size: int) -> int:
+    return LITERALS if size >= WINDOW else -(-3 * size // 4)
+
+
+def windows_of_item(words: list[str]) -> list[tuple[int, int, int, int]]:
+    """(start, size, how, hash) of the windows by which an item is looked up: of each start the shortest with enough
+    literals, at least WINDOW long (a shorter item is one window); those of WINDOW with too few also by their own words; and
+    the nearly whole item if the templates cover less than COVERAGE of it."""
+    n = len(words)
+    if not n:
+        return []
+    rolling, size = _Rolling(words), min(WINDOW, n)
+    found: list[tuple[int, int, int]] = []
+    covered = np.zeros(n, dtype=bool)
+    for start in range(n - size + 1):
+        if rolling.literals(size)[start] < _least(size):
+            found.append((start, size, OWN))
+        fit = [k for k in (size, *SIZES) if size <= k <= n - start and rolling.literals(k)[start] >= _least(k)]
+        if fit:
+            found.append((start, fit[0], TEMPLATE))
+            covered[start : start + fit[0]] = True
+    nearly = max((k for k in SIZES if k <= n), default=0)
+    if nearly and covered.sum() < COVERAGE * n:
+        found += [(start, nearly, ALL) for start in {0, n - nearly} if rolling.literals(nearly)[start] >= WHOLE]
+    return [(start, k, how, int(rolling.hashes(k, how)[start].view(np.int64))) for start, k, how in found]
+
+
+def windows_of(words: list[str], kinds: list[tuple[int, int]], filled: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, size, how, hash) of a text's windows of the given sizes and kinds that are in the bitmap."""
+    rolling, out = _Rolling(words), []
+    for size, how in kinds:
+        if len(words) < size:
             continue
-        least = LITERALS if size == WINDOW else -(-3 * size // 4)
-        few = literal[size:] - literal[:-size] < least
-        found = _rolled(template, size, size)
-        if few.any():
-            found = np.where(few, _rolled(own, size, size + WINDOW), found)
-        at = np.flatnonzero(bitmap.has(filled, found)) if filled is not None else np.arange(len(found))
-        out[size] = list(zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True))
+        literals = rolling.literals(size)
+        fit = literals >= _least(size) if how == TEMPLATE else literals < _least(size) if how == OWN else literals >= WHOLE
+        hashes = rolling.hashes(size, how)
+        at = np.flatnonzero(fit)
+        at = at[bitmap.has(filled, hashes[at])]
+        out += zip(at.tolist(), [size] * len(at), [how] * len(at), hashes[at].view(np.int64).tolist(), strict=True)
     return out
 
 
 _SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
-_HIT = pa.struct([("n", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(_SLOT))])
-_HIT_FIELDS = ("n", "start", "size", "h", "slots")
+_HIT = pa.struct([("n", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("how", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(_SLOT))])
+_HIT_FIELDS = ("n", "start", "size", "how", "h", "slots")
 _HITS = T.ArrayType(
-    T.StructType().add("n", T.IntegerType()).add("start", T.IntegerType()).add("size", T.IntegerType()).add("h", T.LongType()).add(
+    T.StructType().add("n", T.IntegerType()).add("start", T.IntegerType()).add("size", T.IntegerType()).add("how", T.IntegerType()).add("h", T.LongType()).add(
         "slots", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("kind", T.IntegerType()).add("value", T.StringType()))
     )
 )
@@ -118,25 +165,23 @@ def _slots(words: list[str], start: int, size: int) -> list[dict]:
     return out
 
 
-def _hits(batches, name: str, sizes, filled, keep_text: bool):
-    """The rows with their windows (those in the bitmap, if there is one) in a further column."""
+def _hits(batches, name: str, kinds, filled, keep_text: bool):
+    """The rows with their windows in a further column: an item's own, or those of a document that are in the bitmap."""
     for batch in slices(batches):
         found = []
         for text in batch.column("text").to_pylist():
             words = (text or "").split()
-            own = sizes or (min(WINDOW, len(words)),)
-            at = windows_of(words, own, filled and filled.value) if words else {}
+            at = windows_of_item(words) if kinds is None else windows_of(words, kinds, filled.value) if words else []
             found.append([
-                {"n": len(words), "start": start, "size": size, "h": h, "slots": _slots(words, start, size)}
-                for size, some in at.items() for start, h in some
+                {"n": len(words), "start": start, "size": size, "how": how, "h": h, "slots": _slots(words, start, size)} for start, size, how, h in at
             ])
         columns = [c for c in batch.schema.names if keep_text or c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.list_(_HIT))], [*columns, name])
 
 
-def _with_hits(rows: DataFrame, name: str, sizes=None, filled=None, keep_text: bool = False) -> DataFrame:
+def _with_hits(rows: DataFrame, name: str, kinds=None, filled=None, keep_text: bool = False) -> DataFrame:
     fields = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-    return rows.mapInArrow(lambda b: _hits(b, name, sizes, filled, keep_text), T.StructType([*fields, T.StructField(name, _HITS)]))
+    return rows.mapInArrow(lambda b: _hits(b, name, kinds, filled, keep_text), T.StructType([*fields, T.StructField(name, _HITS)]))
 
 
 def _exploded(rows: DataFrame, name: str, *keys) -> DataFrame:
@@ -144,15 +189,16 @@ def _exploded(rows: DataFrame, name: str, *keys) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """The windows of every benchmark item; an item of fewer than WINDOW words is one window."""
+    """The windows of every benchmark item, as ``windows_of_item`` chooses them."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return materialize(_exploded(_with_hits(items, "hits"), "hits", "id"), "benchmark")
 
 
 def _prepared(docs: DataFrame, items: DataFrame):
-    """The sizes of windows to look for (at most WINDOW of them), and the items' bitmap, broadcast at its fixed size."""
-    sizes = tuple(sorted(row["size"] for row in items.select("size").distinct().collect()))
-    return sizes or (WINDOW,), docs.sparkSession.sparkContext.broadcast(bitmap.collect(items))
+    """The sizes and kinds of windows to look for (at most 3 x (WINDOW + SIZES)), and the items' bitmap, broadcast at its
+    fixed size."""
+    kinds = sorted((row["size"], row["how"]) for row in items.select("size", "how").distinct().collect())
+    return kinds, docs.sparkSession.sparkContext.broadcast(bitmap.collect(items))
 
 
 def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
@@ -162,15 +208,15 @@ def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
     consistent with each other where the document has one value for them too, be it another one: of those that differ,
     the largest part counts. All groups are bounded by the length of an item and how often it recurs in the document.
     """
-    left = windows.select(F.col("id").alias("doc_id"), "h", "size", F.col("start").alias("at"), F.col("slots").alias("theirs"))
-    right = items.select(F.col("id").alias("item_id"), "h", "size", "start", "n", "slots")
+    left = windows.select(F.col("id").alias("doc_id"), "h", "size", "how", F.col("start").alias("at"), F.col("slots").alias("theirs"))
+    right = items.select(F.col("id").alias("item_id"), "h", "size", "how", "start", "n", "slots")
     pair = F.zip_with(
         "slots", "theirs",
         lambda a, b: F.struct((F.col("start") + a.at).alias("at"), a.kind.alias("kind"), a.value.alias("a"), b.value.alias("b")),
     )
     if items.count() <= SMALL:
         right = F.broadcast(right)  # so windows that very many documents hold stay where they are
-    met = left.join(right, ["h", "size"]).withColumn("pairs", pair)
+    met = left.join(right, ["h", "size", "how"]).withColumn("pairs", pair)
     by_diagonal = met.groupBy("doc_id", "item_id", "n", (F.col("at") - F.col("start")).alias("diagonal")).agg(
         F.collect_set(F.struct("start", "size")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
         F.min("at").alias("first"),
@@ -214,9 +260,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns are ignored; an empty table on either side gives no rows.
     """
     items = item_windows(benchmark)
-    sizes, filled = _prepared(docs, items)
+    kinds, filled = _prepared(docs, items)
     texts = documents_of(docs).withColumn("id", F.monotonically_increasing_id())
-    hits = _with_hits(texts, "hits", sizes, filled).where(F.size("hits") > 0)
+    hits = _with_hits(texts, "hits", kinds, filled).where(F.size("hits") > 0)
     hits = materialize(hits, "leak-candidates")
     leaks = _leaks(matches(_exploded(hits, "hits", "id"), items)).withColumnRenamed("doc_id", "id")
     return hits.select("id", "doc_id").join(leaks, "id").drop("id")
@@ -230,9 +276,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     verdict. Further columns pass through, whatever their names; an empty table gives no rows.
     """
     items = item_windows(benchmark)
-    sizes, filled = _prepared(docs, items)
+    kinds, filled = _prepared(docs, items)
     row, name = fresh(docs, "__row", "__hits")
-    held = _with_hits(docs, name, sizes, filled, keep_text=True).withColumn(row, F.monotonically_increasing_id())
+    held = _with_hits(docs, name, kinds, filled, keep_text=True).withColumn(row, F.monotonically_increasing_id())
     held = materialize(held, "leak-candidates")
     leaks = _leaks(matches(_exploded(held.where(F.size(name) > 0), name, F.col(row).alias("id")), items))
     leaks = leaks.select(F.col("doc_id").alias(row)).distinct()

@@ -88,25 +88,40 @@ def rule_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(covered)
 
 
-def leak(text, item, canonical, window=8, literals=5, coverage=0.6, consistent=0.8):
-    """Whether a text holds an item: its windows that stand in the text, by template or, with few literals, by words."""
+def leak(text, item, canonical, window=8, literals=5, whole=2, coverage=0.6, consistent=0.8, sizes=(5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64)):
+    """Whether a text holds an item: every pair of equally long stretches of both is compared, word by word. Stretches agree by
+    template where they have enough literals: those of eight words, longer ones only where no shorter one at that place
+    has enough; else by words. What is left over agrees as nearly the whole item."""
     ws, its = text.split(), item.split()
-    size = min(window, len(its))
-    if not size:
+    n = len(its)
+    if not n:
         return False
-    least = literals if size == window else -(-3 * size // 4)
     a, b = [canonical(w) for w in its], [canonical(w) for w in ws]
+    size = min(window, n)
+    need = lambda k: literals if k >= window else -(-3 * k // 4)
+    plain = lambda i, k: sum(not kind for kind, _ in a[i : i + k])
+    tries, by_template = [], set()
+    for i in range(n - size + 1):
+        if plain(i, size) < need(size):
+            tries.append((i, size, False))
+        for k in sorted({size, *(k for k in sizes if k > size)}):
+            if i + k <= n and plain(i, k) >= need(k):
+                tries.append((i, k, True))
+                by_template |= set(range(i, i + k))
+                break
+    nearly = [k for k in sizes if k <= n]
+    if nearly and len(by_template) < coverage * n:
+        tries += [(i, nearly[-1], True) for i in {0, n - nearly[-1]} if plain(i, nearly[-1]) >= whole]
     found, covered = {}, set()
-    for i in range(len(its) - size + 1):
-        few = sum(not k for k, _ in a[i : i + size]) < least
-        for j in range(len(ws) - size + 1):
-            pairs = list(zip(a[i : i + size], b[j : j + size], strict=True))
-            if all(p[0] == q[0] and (p[1] == q[1] or p[0] and not few) for p, q in pairs):
-                covered |= set(range(i, i + size))
-                found.setdefault(j - i, set()).update((i + k, p[0], p[1], q[1]) for k, (p, q) in enumerate(pairs) if p[0])
+    for i, k, template in tries:
+        for j in range(len(ws) - k + 1):
+            pairs = list(zip(a[i : i + k], b[j : j + k], strict=True))
+            if all(p[0] == q[0] and (p[1] == q[1] or p[0] and template) for p, q in pairs):
+                covered |= set(range(i, i + k))
+                found.setdefault(j - i, set()).update((i + x, p[0], p[1], q[1]) for x, (p, q) in enumerate(pairs) if p[0])
     slots = fit = 0
     for pairs in found.values():
         slots += len(pairs)
         for kind, value in {p[1:3] for p in pairs}:
             fit += max(Counter(p[3] for p in pairs if p[1:3] == (kind, value)).values())
-    return len(covered) >= coverage * len(its) and fit >= consistent * slots
+    return len(covered) >= coverage * n and fit >= consistent * slots
