@@ -630,7 +630,15 @@ def map_layout(spark, d):
     return layout.layout(s.nodes, s.collapsed, s.degrees)
 
 
-@query()
+@query(f"""WITH p AS ({fx.duck(fx.PASSAGES)}), n AS (SELECT count(*) AS n FROM p),
+post AS (SELECT corpus, pid, term, count(*) AS tf FROM (SELECT corpus, pid, unnest({_tokens_sql('text')}) AS term FROM p) u GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term), alike AS (SELECT pid, md5(string_agg(concat(term, '=', tf), ' ' ORDER BY term)) AS h FROM post GROUP BY pid),
+member AS (SELECT pid, min(pid) OVER (PARTITION BY h) AS rep FROM alike), raw AS (SELECT pid, term, tf * ln(n / df::DOUBLE) AS w FROM post JOIN df USING (term), n WHERE df < n AND pid IN (SELECT rep FROM member)),
+norm AS (SELECT pid, sqrt(sum(w * w)) AS norm FROM raw GROUP BY pid), u AS (SELECT pid, term, w / norm AS w FROM raw JOIN norm USING (pid)),
+met AS (SELECT a.pid AS s, b.pid AS t, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.pid < b.pid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5 - 1e-9),
+ends AS (SELECT s, t, cosine, s AS of FROM met UNION ALL SELECT s, t, cosine, t FROM met),
+kept AS (SELECT DISTINCT s, t, cosine FROM (SELECT *, row_number() OVER (PARTITION BY of ORDER BY round(cosine, 9) DESC, s, t) AS k FROM ends) z WHERE k <= 3)
+SELECT 'docs' AS corpus, s, t, round(cosine, 6) AS cosine FROM kept UNION ALL SELECT 'docs', rep, pid, 1.0 FROM member WHERE rep <> pid""")
 def similar_documents(spark, d):
     return docgraph.related(fx.load(spark, d, fx.PASSAGES).select("corpus", F.col("pid").alias("id"), "text"))
 

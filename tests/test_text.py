@@ -375,35 +375,47 @@ def test_builds_stream_into_a_retained_table(spark, tmp_path):
     assert {r["n"] for r in builds.activity(log).collect()} == {1, 2}
 
 
-def test_similar_texts_by_plain_cosines(spark, monkeypatch):
-    monkeypatch.setattr(docgraph, "BLOCK", 3)
-    rng = random.Random(5)
-    words = [f"term{k}" for k in range(40)]
-    texts = [(f"d{k:03}", " ".join(rng.choices(words, k=rng.choice([3, 8, 20])))) for k in range(60)]
-    texts += [(f"e{k:03}", texts[k % 7][1]) for k in range(30)] + [("none", "")]
-    df = spark.createDataFrame([("c", i, t) for i, t in texts], "corpus string, id string, text string")
-    found = {(r["s"], r["t"]): r["cosine"] for r in docgraph.related(df, partners=10**6).collect()}
-    bag = {i: Counter(t.split()) for i, t in texts}
-    df_of = Counter(w for b in bag.values() for w in b)
-    kept = {w for w, n in df_of.items() if n <= max(2, math.floor(len(texts) * docgraph.MOST_SHARE))}
+def similar(texts):
+    """(s, t) -> cosine of texts of equal terms and of representatives, in plain Python."""
+    bag = {i: Counter(t.split()) for i, t in texts if t}
+    df = Counter(w for b in bag.values() for w in b)
+    rep = {i: min(j for j, c in bag.items() if c == b) for i, b in bag.items()}
     vector = {}
-    for i, b in bag.items():
-        v = {w: n * math.log(1 + len(texts) / df_of[w]) for w, n in b.items() if w in kept}
+    for i in set(rep.values()):
+        v = {w: n * math.log(len(texts) / df[w]) for w, n in bag[i].items() if df[w] < len(texts)}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        if v:
-            vector[i] = {w: round(x / norm, 9) for w, x in v.items()}
-    rep = {i: min(j for j, u in vector.items() if u == v) for i, v in vector.items()}
-    expected = {(rep[i], i): 1.0 for i in vector if rep[i] != i}
-    alone = sorted(set(rep.values()))
-    for a in alone:
-        for b in alone:
+        vector[i] = {w: x / norm for w, x in v.items()}
+    out = {(rep[i], i): 1.0 for i in bag if rep[i] != i}
+    for a in vector:
+        for b in vector:
             cosine = sum(x * vector[b].get(w, 0) for w, x in vector[a].items())
             if a < b and cosine >= docgraph.LEAST_COSINE:
-                expected[a, b] = round(cosine, 6)
+                out[a, b] = round(cosine, 6)
+    return out
+
+
+@pytest.mark.parametrize(("block", "levels"), [(3, 16), (1000, 4)])
+def test_similar_texts_by_plain_cosines(spark, monkeypatch, block, levels):
+    monkeypatch.setattr(docgraph, "BLOCK", block)
+    monkeypatch.setattr(docgraph, "LEVELS", levels)
+    rng = random.Random(block)
+    words = [f"term{k}" for k in range(40)]
+    texts = [(f"d{k:03}", " ".join(rng.choices(words, [3] * 5 + [1] * 35, k=rng.choice([3, 8, 20])))) for k in range(60)]
+    texts += [(f"e{k:03}", " ".join(reversed(texts[k % 7][1].split()))) for k in range(30)] + [("none", "")]
+    df = spark.createDataFrame([("c", i, t) for i, t in texts], "corpus string, id string, text string")
+    found = {(r["s"], r["t"]): r["cosine"] for r in docgraph.related(df, partners=10**6).collect()}
+    expected = similar(texts)
     assert len(expected) > 30 and set(found) == set(expected)
     assert all(abs(found[k] - v) < 1e-5 for k, v in expected.items())
 
 
+@pytest.mark.parametrize("others", [0, 7])
+def test_equal_texts_are_linked_however_few_there_are(spark, others):
+    rows = [("c", f"a{k}", "solar panels feed the grid") for k in range(3)] + [("c", f"b{k}", f"word{k} alone{k}") for k in range(others)]
+    found = docgraph.related(spark.createDataFrame(rows, "corpus string, id string, text string")).collect()
+    assert {(r["s"], r["t"], r["cosine"]) for r in found} == {("a0", "a1", 1.0), ("a0", "a2", 1.0)}
+
+
 def test_mentions_take_the_surest_confidence(spark):
     rows = [("c", "p1", "n", "low"), ("c", "p2", "n", "high"), ("c", "p3", "n", "medium"), ("c", "p4", "m", "medium"), ("c", "p5", "m", "low")]
     found = mentions.by_node(spark.createDataFrame(rows, "corpus string, pid string, id string, confidence string")).collect()
