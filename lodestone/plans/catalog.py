@@ -618,6 +618,23 @@ def extract_javascript(spark, d):
     return _extracted(spark, files, code_facts.from_javascript(files))
 
 
+#: $F and $N: a user's module and its nation's. Facts in the line that does not parse make no link.
+_PACKAGE_LINKS = """('$F', 'os', 'imports'), ('$F', '$N', 'imports'), ('$F', '$N', 'imports_from'), ('$F', '$N_base', 'imports'), ('$F', '$N_helper', 'imports'),
+  ('$F', '$F_agent', 'contains'), ('$F', '$F_main', 'contains'), ('$F_rationale_1', '$F', 'rationale_for'), ('$F_rationale_8', '$F_agent', 'rationale_for'), ('$F_rationale_22', '$F_main', 'rationale_for'),
+  ('$F_agent', '$F_py_base', 'inherits'), ('$F_agent', '$F_agent_run', 'method'), ('$F_agent', '$F_agent_stop', 'method'), ('$F_agent_run', '$F_py_route', 'references'), ('$F_agent_run', '$F_py_route', 'calls'),
+  ('$F_agent_run', '$F_py_shape', 'references'), ('$F_agent_run', '$F_py_base', 'references'), ('$F_agent_run', '$F_agent_stop', 'calls'), ('$F_agent_run', '$N_helper', 'calls'),
+  ('$F_main', '$F_agent', 'references'), ('$F_main', '$N_helper', 'calls'), ('$F_main', '$F_agent', 'calls')"""
+_SHAPES_LINKS = "('$N', '$N_base', 'contains'), ('$N', '$N_helper', 'contains'), ('$N_base', '$N_base_area', 'method'), ('$N_rationale_1', '$N', 'rationale_for'), ('$N_rationale_3', '$N_base', 'rationale_for')"
+
+
+@query(f"""WITH files AS (SELECT concat('core_users_supplier_', s_suppkey) AS f, concat('core_nation_', s_nationkey) AS n FROM supplier), shapes AS (SELECT concat('core_nation_', n_nationkey) AS n FROM nation),
+links AS (SELECT f, n, l.* FROM files, (VALUES {_PACKAGE_LINKS}) l(s, t, rel) UNION ALL SELECT '', n, l.* FROM shapes, (VALUES {_SHAPES_LINKS}) l(s, t, rel))
+SELECT 'package' AS corpus, replace(replace(s, '$F', f), '$N', n) AS s, replace(replace(t, '$F', f), '$N', n) AS t, rel, 'EXTRACTED' AS conf FROM links""")
+def extract_package(spark, d):
+    files = fx.load(spark, d, fx.PACKAGE)
+    return _extracted(spark, files, code_facts.from_python(files))
+
+
 @query()
 def detected_communities(spark, d):
     s = Star(spark, d)

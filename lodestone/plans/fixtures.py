@@ -131,6 +131,46 @@ JAVASCRIPT = f"""SELECT 'js' AS corpus, concat('lib/nation_', {_text("n_nationke
 UNION ALL SELECT 'js', concat('app/supplier_', {_text("s_suppkey")}, '.tsx'), {_source(_APP, "s_nationkey")} FROM {{supplier}}"""
 
 
+#: A package: a module of shapes for each nation, and for each supplier a module that uses it, with one line of an older Python.
+_SHAPES = '''"""Shapes of a nation."""
+class Base:
+    """What all share."""
+    def area(self):
+        return $N
+
+def helper(x):
+    return x
+'''
+_USER = '''"""Uses a nation."""
+import os
+import core.nation_$N
+from ..nation_$N import Base, helper
+from .. import nation_$N
+
+class Agent(Base):
+    """Runs things."""
+    @app.route("/x")
+    def run(self, other: Shape) -> Base:
+        print "old style"
+        self.stop()
+        os.getcwd()
+        nation_$N.helper(3)
+        return helper(1)
+
+    def stop(self):
+        # nothing to do
+        pass
+
+def main(agent: Agent):
+    """Starts."""
+    print "old", helper(4)
+    helper(2)
+    Agent()
+'''
+PACKAGE = f"""SELECT 'package' AS corpus, concat('core/nation_', {_text("n_nationkey")}, '.py') AS path, {_source(_SHAPES, "n_nationkey")} AS src FROM {{nation}}
+UNION ALL SELECT 'package', concat('core/users/supplier_', {_text("s_suppkey")}, '.py'), {_source(_USER, "s_nationkey")} FROM {{supplier}}"""
+
+
 def names(sql: str) -> set[str]:
     return {name for _, name, _, _ in string.Formatter().parse(sql) if name}
 

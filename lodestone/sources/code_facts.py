@@ -1,6 +1,6 @@
 """Facts about source files: declarations, imports, calls, annotations. Names are resolved elsewhere, by joins.
 
-A file at a time: Python by the interpreter's own parser, JavaScript and TypeScript by the reader in ``javascript``.
+A file at a time: Python by the interpreter's own parser behind ``python_source``, JavaScript and TypeScript by the reader in ``javascript``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .javascript import javascript_facts
+from .python_source import parse
 
 #: One table for all facts: what is null depends on the sort of fact.
 FACT = "corpus string, path string, fact string, owner string, name string, module string, alias string, line int, text string"
@@ -31,13 +32,12 @@ def _names(annotation):
 
 
 def python_facts(path: str, src: str) -> list[dict]:
-    """Facts of one file; none where it does not parse.
+    """Facts of one file; where it does not parse, of all statements that do.
 
     owner is the dotted name of the declaration that a fact stands in, empty for the file itself.
     """
-    try:
-        tree = ast.parse(src)
-    except (SyntaxError, ValueError, RecursionError):
+    tree = parse(src)
+    if tree is None:
         return []
     facts: list[dict] = []
 
