@@ -93,6 +93,34 @@ def mentions(nodes: DataFrame, passages: DataFrame, most: int = MOST_PER_PASSAGE
     return under_ceiling(hits, passages, share).select("corpus", "pid", "id", "key", "kind", "confidence", "matched")
 
 
+def _pair():
+    return F.to_json(F.struct("code", "docs"))
+
+
+def linked(nodes: DataFrame, passages: DataFrame, pairs: DataFrame, most: int = MOST_PER_PASSAGE, share: float = MOST_SHARE) -> DataFrame:
+    """Mentions between corpora held side by side: (code, docs, pid, id, key, kind, confidence, matched) for each of
+    ``pairs`` (code, docs) of corpus names.
+
+    The entities of one corpus meet the passages of the other. Whether a form is one entity's alone, and whether too many
+    passages have it, is judged within the pair: what another corpus holds does not matter. Repeated pairs count once; a pair
+    of which one side holds nothing has no mention (``unlinkable`` tells which).
+    """
+    pairs = pairs.select("code", "docs").distinct().withColumn("corpus_pair", _pair())
+    own = nodes.join(F.broadcast(pairs.select(F.col("code").alias("corpus"), "corpus_pair")), "corpus").drop("corpus").withColumnRenamed("corpus_pair", "corpus")
+    said = passages.join(F.broadcast(pairs.select(F.col("docs").alias("corpus"), "corpus_pair")), "corpus").drop("corpus").withColumnRenamed("corpus_pair", "corpus")
+    found = mentions(own, said, most, share).withColumnRenamed("corpus", "corpus_pair")
+    return found.join(F.broadcast(pairs), "corpus_pair").select("code", "docs", "pid", "id", "key", "kind", "confidence", "matched")
+
+
+def unlinkable(nodes: DataFrame, passages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (code, docs) that cannot be linked, and why: a side without entities of its own, or without passages."""
+    code = nodes.where("kind <> 'external'").select(F.col("corpus").alias("code")).distinct().withColumn("has_code", F.lit(True))
+    docs = passages.select(F.col("corpus").alias("docs")).distinct().withColumn("has_docs", F.lit(True))
+    out = pairs.select("code", "docs").distinct().join(code, "code", "left").join(docs, "docs", "left")
+    why = F.when(F.col("has_code").isNull(), "no entities").when(F.col("has_docs").isNull(), "no passages")
+    return out.select("code", "docs", why.alias("why")).where("why is not null")
+
+
 #: From the surest to the least sure.
 CONFIDENCES = ("high", "medium", "low")
 

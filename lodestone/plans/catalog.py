@@ -469,6 +469,23 @@ def mentions_by_node(spark, d):
     return mentions.by_node(mentions.mentions(_words(spark, d), fx.load(spark, d, fx.PASSAGES)))
 
 
+_PAIRS = "SELECT * FROM (VALUES ('code_a', 'manual'), ('code_b', 'manual'), ('code_b', 'other'), ('code_a', 'none')) v(code, docs)"
+
+
+@query("""WITH said AS (SELECT concat('supplier_', s_suppkey) AS pid, s_nationkey AS n, 'supplier' AS place, 'manual' AS docs FROM supplier
+UNION ALL SELECT concat('nation_', n_nationkey), n_nationkey, 'nation', 'manual' FROM nation UNION ALL SELECT concat('nation_', n_nationkey), n_nationkey, 'other', 'other' FROM nation),
+form(code, place, id, matched, kind, confidence) AS (VALUES ('code_a', 'supplier', 'file_', 'core/nation_$N.py', 'path', 'high'), ('code_a', 'supplier', 'file_', 'src/core/nation_$N.py', 'path', 'high'),
+  ('code_a', 'supplier', 'load_', 'loadNation$N', 'identifier', 'low'), ('code_a', 'supplier', 'pool_', 'pool.nation_$N', 'identifier', 'low'), ('code_a', 'supplier', 'trim_', 'trim$N', 'identifier', 'high'),
+  ('code_a', 'supplier', 'shared_0', 'sharedHelper', 'identifier', 'low'), ('code_a', 'nation', 'file_', 'nation_$N.py', 'file', 'medium'),
+  ('code_b', 'supplier', 'load_', 'loadNation$N', 'identifier', 'low'), ('code_b', 'supplier', 'pool_', 'pool.nation_$N', 'identifier', 'low'), ('code_b', 'other', 'load_', 'loadNation$N', 'identifier', 'low')),
+hit AS (SELECT code, docs, pid, CASE WHEN id = 'shared_0' THEN id ELSE concat(id, n) END AS id, lower(replace(matched, '$N', n::VARCHAR)) AS key, kind, confidence, replace(matched, '$N', n::VARCHAR) AS matched
+  FROM said JOIN form USING (place) WHERE NOT (code = 'code_b' AND id = 'load_' AND n < 10)),
+most AS (SELECT docs, greatest(3, floor(count(*) * 0.2)) AS most FROM said GROUP BY docs)
+SELECT hit.* FROM hit JOIN most USING (docs) QUALIFY count(*) OVER (PARTITION BY code, docs, key) <= most""")
+def linked_mentions(spark, d):
+    return mentions.linked(fx.load(spark, d, fx.LINKED_NODES), fx.load(spark, d, fx.LINKED_PASSAGES), spark.sql(_PAIRS))
+
+
 _NEEDLE = "tionst"
 _LINES = f"""WITH f AS ({fx.duck(fx.FILES)}), l AS (SELECT corpus, path, unnest(string_split(src, chr(10))) AS text, generate_subscripts(string_split(src, chr(10)), 1) AS line FROM f),
 h AS (SELECT corpus, path, line, strpos(lower(text), '{_NEEDLE}') - 1 AS col, row_number() OVER (PARTITION BY path ORDER BY line) AS k FROM l WHERE contains(lower(text), '{_NEEDLE}')),

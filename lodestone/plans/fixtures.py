@@ -171,6 +171,27 @@ PACKAGE = f"""SELECT 'package' AS corpus, concat('core/nation_', {_text("n_natio
 UNION ALL SELECT 'package', concat('core/users/supplier_', {_text("s_suppkey")}, '.py'), {_source(_USER, "s_nationkey")} FROM {{supplier}}"""
 
 
+def _entity(corpus: str, kind: str, label: str, path: str = "'x/y.py'") -> str:
+    return f"SELECT '{corpus}' AS corpus, concat('{kind}_', {_text('n_nationkey')}) AS id, {label} AS label, 'code' AS kind, {path} AS path FROM {{nation}}"
+
+
+def _with_key(text: str, key: str = "n_nationkey") -> str:
+    return "concat('" + text.replace("$N", f"', {_text(key)}, '") + "')"
+
+
+#: Two corpora of code with entities of every form, and one of documents that mentions them. In the second, one name of each
+#: of the first ten nations is two entities'.
+LINKED_NODES = " UNION ALL ".join([
+    _entity("code_a", "file", _with_key("nation_$N.py"), _with_key("src/core/nation_$N.py")), _entity("code_a", "load", _with_key("loadNation$N()")),
+    _entity("code_a", "pool", _with_key("pool.nation_$N")), _entity("code_a", "trim", _with_key(".trim$N()")), _entity("code_a", "shared", "'sharedHelper()'") + " WHERE n_nationkey = 0",
+    _entity("code_b", "load", _with_key("loadNation$N()")), _entity("code_b", "again", _with_key("loadNation$N()")) + " WHERE n_nationkey < 10", _entity("code_b", "pool", _with_key("pool.nation_$N")),
+])
+LINKED_PASSAGES = f"""SELECT 'manual' AS corpus, concat('supplier_', {_text("s_suppkey")}) AS pid,
+  {_with_key("See core/nation_$N.py, or src/core/nation_$N.py: loadNation$N reads pool.nation_$N, `trim$N()` ends it. sharedHelper is everywhere.", "s_nationkey")} AS text FROM {{supplier}}
+UNION ALL SELECT 'manual', concat('nation_', {_text("n_nationkey")}), {_with_key("Open nation_$N.py; plain trim$N says nothing.")} FROM {{nation}}
+UNION ALL SELECT 'other', concat('nation_', {_text("n_nationkey")}), {_with_key("Nothing but loadNation$N.")} FROM {{nation}}"""
+
+
 def names(sql: str) -> set[str]:
     return {name for _, name, _, _ in string.Formatter().parse(sql) if name}
 

@@ -446,3 +446,15 @@ def test_builds_are_deleted_by_id_or_all(spark):
     gone = spark.createDataFrame([("a",), ("x",), (None,)], "id string")
     assert sorted(r["bytes"] for r in history.without(saved, gone).collect()) == [2, 3]
     assert history.without(saved).count() == 0
+
+
+def test_links_between_corpora_are_judged_within_the_pair(spark):
+    nodes = spark.createDataFrame(
+        [("a", "n1", "parseTree()", "code", "a.py"), ("b", "n2", "parseTree()", "code", "b.py"), ("b", "n3", "parseTree()", "code", "c.py"), ("c", "n4", "parseTree", "external", None)],
+        "corpus string, id string, label string, kind string, path string",
+    )
+    said = spark.createDataFrame([("d", "p", "Call parseTree here."), ("e", "q", "Or parseTree there.")], "corpus string, pid string, text string")
+    pairs = spark.createDataFrame([("a", "d"), ("a", "d"), ("b", "d"), ("a", "e"), ("c", "d"), ("a", "f")], "code string, docs string")
+    assert {(r["code"], r["docs"], r["pid"], r["id"]) for r in mentions.linked(nodes, said, pairs).collect()} == {("a", "d", "p", "n1"), ("a", "e", "q", "n1")}
+    assert {tuple(r) for r in mentions.unlinkable(nodes, said, pairs).collect()} == {("c", "d", "no entities"), ("a", "f", "no passages")}
+    assert mentions.linked(nodes, said, pairs.where("false")).count() == 0
