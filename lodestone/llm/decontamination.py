@@ -60,38 +60,47 @@ def canonical(word: str) -> tuple[int, str]:
 
 
 class _Tokens(dict):
-    """62 bits of hash and 2 of kind for every word, as a template's token (placeholders of a kind are one) and as itself."""
+    """62 bits of hash and 2 of kind for every word, as itself."""
 
-    LIMIT = 1 << 17
+    LIMIT = 1 << 18
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         kind, form = canonical(word)
-        own = xxhash.xxh64_intdigest(f"{kind}{form}") >> 2 << 2 | kind
-        found = (xxhash.xxh64_intdigest(f"{kind}") >> 2 << 2 | kind if kind else own, own)
         if len(self) >= self.LIMIT:
             self.clear()
-        self[word] = found
+        found = self[word] = xxhash.xxh64_intdigest(f"{kind}{form}") >> 2 << 2 | kind
         return found
 
 
 _TOKENS = _Tokens()
+#: The template's token of each kind; literals stand for themselves.
+_PLACEHOLDERS = np.array([0, *(xxhash.xxh64_intdigest(f"{kind}") >> 2 << 2 | kind for kind in (NUMBER, NAME, UNIT))], dtype=np.uint64)
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base, and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            out = np.full(1 << n.bit_length(), base, dtype=np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS
 
 
 class _Rolling:
     """Hashes of the windows of any size of one text, from running sums."""
 
     def __init__(self, words: list[str]):
-        both = np.array([_TOKENS[w] for w in words], dtype=np.uint64).reshape(-1, 2)
         n = len(words)
-        power = np.full(n + 1, _BASE, dtype=np.uint64)
-        power[0] = 1
-        power, back = np.cumprod(power, dtype=np.uint64), np.full(n + 1, _INVERSE, dtype=np.uint64)
-        back[0] = 1
-        self.back = np.cumprod(back, dtype=np.uint64)
+        own = np.fromiter(map(_TOKENS.__getitem__, words), dtype=np.uint64, count=n)
+        kind = own & np.uint64(3)
+        power, self.back = _powers(n + 1)
         self.sums = np.zeros((2, n + 1), dtype=np.uint64)
-        for k in (0, 1):
-            np.cumsum(both[:, k] * power[:n], dtype=np.uint64, out=self.sums[k, 1:])
-        self.literal = np.concatenate([[0], np.cumsum((both[:, 0] & np.uint64(3)) == LITERAL)])
+        for k, tokens in enumerate((np.where(kind == LITERAL, own, _PLACEHOLDERS[kind]), own)):
+            np.cumsum(tokens * power[:n], dtype=np.uint64, out=self.sums[k, 1:])
+        self.literal = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(kind == LITERAL, out=self.literal[1:])
         self.n = n
 
     def literals(self, size: int) -> np.ndarray:
