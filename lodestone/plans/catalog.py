@@ -12,10 +12,11 @@ from ..functions.vocabulary import (
     ENTRY_VERBS, GENERIC_NAMES, PARSEABLE, READABLE, READABLE_NAMES, RELATION_WEIGHT, SKIPPED, STOP_WORDS,
 )
 from ..operators import (
-    blast, cycles, diff, docgraph, extract, graph, history, insights, knowledge, layout, mentions, score, search, spatial, tree,
+    blast, changes, cycles, diff, docgraph, extract, graph, history, insights, knowledge, layout, mentions, score, search, spatial, tree,
 )
 from ..sources import code_facts, ingest
 from . import fixtures as fx
+from .storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,6 +299,31 @@ def file_diff(spark, d):
     return diff.file_diff(before[0], after[0])
 
 
+_HISTORY = f"""WITH chain AS (SELECT corpus, build, saved_at, lag(build) OVER (ORDER BY saved_at) AS before FROM ({fx.duck(fx.CHAIN)}) c), e AS ({fx.duck(fx.CHAIN_EDGES)}), n AS ({fx.duck(fx.CHAIN_NODES)}),
+held AS (SELECT build, 'node' AS what, id, NULL AS path, NULL AS s, NULL AS t, NULL AS rel FROM n UNION SELECT build, 'file', NULL, path, NULL, NULL, NULL FROM n UNION SELECT build, 'edge', NULL, NULL, s, t, rel FROM e),
+pair AS (SELECT before, build FROM chain WHERE before IS NOT NULL),
+now AS (SELECT pair.before, pair.build, h.what, h.id, h.path, h.s, h.t, h.rel FROM pair JOIN held h ON h.build = pair.build), was AS (SELECT pair.before, pair.build, h.what, h.id, h.path, h.s, h.t, h.rel FROM pair JOIN held h ON h.build = pair.before),
+history AS (SELECT 'shop' AS corpus, *, 'added' AS change FROM (SELECT * FROM now EXCEPT SELECT * FROM was) a UNION ALL SELECT 'shop', *, 'removed' FROM (SELECT * FROM was EXCEPT SELECT * FROM now) b)
+"""
+
+
+def _history(spark, d):
+    nodes, edges = (materialize(fx.load(spark, d, sql), "builds") for sql in (fx.CHAIN_NODES, fx.CHAIN_EDGES))
+    return changes.history(fx.load(spark, d, fx.CHAIN), nodes, edges)
+
+
+@query(_HISTORY + "SELECT * FROM history")
+def build_history(spark, d):
+    return _history(spark, d)
+
+
+@query(_HISTORY + """, kinds(what) AS (VALUES ('node'), ('file'), ('edge'))
+SELECT 'shop' AS corpus, pair.before, pair.build, kinds.what, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed
+FROM pair CROSS JOIN kinds LEFT JOIN history USING (build, what) GROUP BY pair.before, pair.build, kinds.what""")
+def build_history_summary(spark, d):
+    return changes.summary(_history(spark, d), fx.load(spark, d, fx.CHAIN))
+
+
 @query(_DIFF + """SELECT corpus, s, t, rel, 'added' AS change FROM (SELECT corpus, s, t, rel FROM e1 EXCEPT SELECT corpus, s, t, rel FROM e0) a
 UNION ALL SELECT corpus, s, t, rel, 'removed' FROM (SELECT corpus, s, t, rel FROM e0 EXCEPT SELECT corpus, s, t, rel FROM e1) b""")
 def edge_diff(spark, d):

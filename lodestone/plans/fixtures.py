@@ -171,6 +171,15 @@ PACKAGE = f"""SELECT 'package' AS corpus, concat('core/nation_', {_text("n_natio
 UNION ALL SELECT 'package', concat('core/users/supplier_', {_text("s_suppkey")}, '.py'), {_source(_USER, "s_nationkey")} FROM {{supplier}}"""
 
 
+#: Six builds of one corpus, each of the orders shipped in two years: customers are files that come and go, and one build's names
+#: are not in order of time.
+_YEARS = [(f"build_{(7 * year) % 10}", f"TIMESTAMP '{year}-01-01 00:00:00'", f"TIMESTAMP '{year + 2}-01-01 00:00:00'") for year in range(1992, 1998)]
+CHAIN = "SELECT 'shop' AS corpus, build, saved_at FROM (VALUES " + ", ".join(f"('{b}', {hi})" for b, _, hi in _YEARS) + ") v(build, saved_at)"
+CHAIN_EDGES = f"""SELECT DISTINCT 'shop' AS corpus, v.build AS build, concat('customer_', {_text("o_custkey")}) AS s, concat('supplier_', {_text("l_suppkey")}) AS t, 'calls' AS rel
+  FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN (VALUES {", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _YEARS)}) v(build, lo, hi) ON l_shipdate >= v.lo AND l_shipdate < v.hi"""
+CHAIN_NODES = f"SELECT DISTINCT corpus, build, s AS id, concat('customers/', s, '.py') AS path FROM ({CHAIN_EDGES}) a UNION ALL SELECT DISTINCT corpus, build, t, 'suppliers.py' FROM ({CHAIN_EDGES}) b"
+
+
 def _entity(corpus: str, kind: str, label: str, path: str = "'x/y.py'") -> str:
     return f"SELECT '{corpus}' AS corpus, concat('{kind}_', {_text('n_nationkey')}) AS id, {label} AS label, 'code' AS kind, {path} AS path FROM {{nation}}"
 
