@@ -107,6 +107,11 @@ def neighbours_by_relation(adjacent: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order))
 
 
+def isolation(nodes: DataFrame, community: int) -> DataFrame:
+    """The entities that stay lit when one community is singled out: its own, in every corpus."""
+    return nodes.where(F.col("c") == community).select("corpus", "id")
+
+
 def edge_styles(edges: DataFrame, nodes: DataFrame, highlighted: DataFrame) -> DataFrame:
     """How each edge is drawn: hot between two highlighted nodes, dim otherwise if anything is highlighted, else a
     bridge between communities or normal within one."""

@@ -144,6 +144,13 @@ def edge_bridges(spark, d):
     return graph.edge_styles(s.edges, s.nodes, s.nodes.where("false"))
 
 
+@query(_STAR + """SELECT e.corpus, e.s, e.t, e.rel, CASE WHEN coalesce(a.c = 3 AND b.c = 3, false) THEN 'hot' ELSE 'dim' END AS style
+FROM edges e JOIN nodes a ON a.id = e.s JOIN nodes b ON b.id = e.t""")
+def isolated_edges(spark, d):
+    s = Star(spark, d)
+    return graph.edge_styles(s.edges, s.nodes, graph.isolation(s.nodes, 3))
+
+
 @query(_STAR + """SELECT *, CAST(row_number() OVER (ORDER BY uses DESC, id) AS INTEGER) AS rank FROM (SELECT n.corpus, n.id, count(*) AS uses, n.label, n.path, n.kind
 FROM used JOIN nodes n ON n.id = used.t WHERE n.kind <> 'external' AND n.path IS NOT NULL GROUP BY ALL) q ORDER BY rank LIMIT 15""")
 def hubs(spark, d):
@@ -636,6 +643,23 @@ def spatial_hit(spark, d):
     return spatial.hit_test(fx.load(spark, d, _SPOTS), fx.load(spark, d, _POINTS))
 
 
+#: Discs from a few units to some hundreds, and points far outside the map too.
+_DISCS = _SPOTS.replace("5 + c_custkey % 30 AS DOUBLE", "CASE WHEN c_custkey % 50 = 7 THEN 700 ELSE 5 + c_custkey % 30 END AS DOUBLE")
+_FAR = "SELECT corpus, point, x * 3 - 4000 AS x, y * 3 - 4000 AS y FROM (" + _POINTS + ") p"
+
+
+@query(f"""SELECT corpus, point, id, round(sqrt(d2), 6) AS distance FROM (SELECT p.corpus, p.point, n.id, (n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y) AS d2, greatest(n.r, 12 / 0.5) AS reach
+FROM ({fx.duck(_FAR)}) p JOIN ({fx.duck(_DISCS)}) n ON abs(n.x - p.x) < 700 AND abs(n.y - p.y) < 700) q WHERE d2 < reach * reach QUALIFY row_number() OVER (PARTITION BY point ORDER BY d2, id) = 1""")
+def exact_hits(spark, d):
+    return spatial.exact_hit(fx.load(spark, d, _DISCS), fx.load(spark, d, _FAR), 0.5)
+
+
+@query(f"""SELECT p.corpus, p.point, arg_min(n.id, ((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y), n.id)) AS id, round(sqrt(min((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y))), 6) AS distance
+FROM ({fx.duck(_FAR)}) p CROSS JOIN ({fx.duck(_SPOTS)}) n GROUP BY ALL""")
+def nearest_nodes(spark, d):
+    return spatial.nearest(fx.load(spark, d, _SPOTS), fx.load(spark, d, _FAR))
+
+
 def _extracted(spark, files, facts):
     return extract.raw_links(files, facts).select("corpus", "s", "t", "rel", "conf")
 
