@@ -33,10 +33,13 @@ AROUND_NAMES = frozenset(
     " cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup signin login share sharing"
     " social tags pagination pager skip toc copyright legal disclaimer".split()
 )
-WRAPPING = frozenset("no not non has have with without hide by layout page main body content post entry article wrapper container text story".split())
-#: Open elements that an end tag looks back over, and innermost marks that a block keeps.
-DEEP, MARKS = 64, 8
+#: Names that what a page consists of may bear as well: terms of use, or the dishes of an inn.
+TOPICS = frozenset("legal disclaimer copyright menu notice notices alert promotion toc discussion side rail".split())
+#: Words that make a name one of the page's layout, and words for a wrapper of what the name's other words say.
+LAYOUT = frozenset("no not non has have with without hide by layout page".split())
+WRAPPING = frozenset("main body content post entry article wrapper container text story".split())
 _QUOTE_OR_END = re.compile(r"=\s*+[\"']|>")
+_HREF = re.compile(r"\bhref\b", re.IGNORECASE)
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _ENDS = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in RAW}
@@ -52,37 +55,51 @@ class Block:
     tag: int
     #: 2: inside an article, 1: inside a main element, else 0.
     level: int
-    #: Numbers of the elements around it that look like what goes around a main text.
-    marks: tuple[int, ...]
+    #: The innermost element around it that looks like what goes around a main text, -1 for none.
+    mark: int
+
+
+@dataclass(slots=True)
+class Marks:
+    """Elements that look like what goes around a main text, in page order: how surely each does (``_around``), the one
+    that it stands in (-1: none), and whether it or one around it says so for sure."""
+
+    hint: list[int]
+    parent: list[int]
+    sure: list[bool]
+
+    def add(self, hint: int, parent: int) -> int:
+        self.hint.append(hint)
+        self.parent.append(parent)
+        self.sure.append(hint > 1 or parent >= 0 and self.sure[parent])
+        return len(self.hint) - 1
 
 
 def _named(value: str) -> int:
-    """2: a class or id names what goes around a main text; 1: one of its words does; 0: none, or a wrapper's name."""
-    tokens = value.split()
-    if any(t in WRAPPING for t in tokens):
-        return 0
+    """How surely a class or id names what goes around a main text, by its surest token: 4 where all its words say so, 2 where
+    they may be a text's topic too, 1 where one does beside a wrapper's; a token with a layout's words says nothing."""
     found = 0
-    for token in tokens:
-        parts = re.split(r"[^a-z]+", token)
-        if all(part in AROUND_NAMES for part in parts if part) and any(parts):
-            return 2
-        if not WRAPPING.intersection(parts) and AROUND_NAMES.intersection(parts):
-            found = 1
+    for token in value.split():
+        parts = set(filter(None, re.split(r"[^a-z]+", token)))
+        if LAYOUT & parts or not AROUND_NAMES & parts:
+            continue
+        found = max(found, 1 if parts - AROUND_NAMES else 4 if parts - TOPICS else 2)
     return found
 
 
 def _around(name: str, attributes: str) -> int:
-    """How surely an element goes around the main text: 2 by what it is, 1 by a hint that a wrapper may give as well."""
+    """How surely an element goes around the main text: 3 by what it is, 4 or 2 by its name, 1 by a hint that a wrapper may
+    give as well."""
     if name in AROUND:
-        return 2
+        return 3
     found = 1 if name in ("form", "header") else 0
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                return 2
+                return 3
             if key == "role" and value in AROUND_ROLES:
-                found = max(found, 1 if value == "form" else 2)
+                found = max(found, 1 if value == "form" else 3)
             elif key in ("class", "id") and name not in ("body", "html"):
                 found = max(found, _named(value))
     return found
@@ -135,15 +152,17 @@ def _tags(source: str):
         yield start, at, name, closing, attributes
 
 
-def blocks_of(source: str) -> tuple[list[Block], list[int]]:
-    """The page's text blocks in order, and how sure each mark in them is. A block is what stands between two block-level
-    tags, references decoded, white space one space, with its words and those of them inside links."""
+def blocks_of(source: str) -> tuple[list[Block], Marks]:
+    """The page's text blocks in order, and the marks around them. A block is what stands between two block-level tags,
+    references decoded, white space one space, with its words and those of them inside links. A link has an address, and ends
+    with the element that it stands in. Each element is opened and closed once, so the time is linear."""
     blocks: list[Block] = []
-    sure: list[int] = []
-    stack: list[tuple[str, int, tuple[int, ...]]] = [("", 0, ())]
+    marks = Marks([], [], [])
+    stack: list[tuple[str, int, int]] = [("", 0, -1)]
+    open_: dict[str, list[int]] = {}
     parts: list[str] = []
     linked: list[str] = []
-    in_link, tag = False, 1
+    link, tag = 0, 1  # how deep a link began; 0: outside of links
 
     def close() -> None:
         if parts:
@@ -155,38 +174,51 @@ def blocks_of(source: str) -> tuple[list[Block], list[int]]:
             parts.clear()
         linked.clear()
 
-    def inside(name: str, attributes: str) -> tuple[str, int, tuple[int, ...]]:
-        _, level, marks = stack[-1]
+    def push(name: str, attributes: str) -> None:
+        _, level, mark = stack[-1]
         main = 2 if name == "article" else 1 if name == "main" else 0
         if main:
             # An article starts anew, unless it stands in what surely goes around: a reader's comment may be one.
-            return (name, max(level, main), ()) if all(sure[k] < 2 for k in marks) else (name, level, marks)
-        if (hint := 0 if name == "header" and level else _around(name, attributes)):
-            sure.append(hint)
-            marks = (*marks[1 - MARKS :], len(sure) - 1)
-        return name, level, marks
+            level, mark = (level, mark) if mark >= 0 and marks.sure[mark] else (max(level, main), -1)
+        elif hint := 0 if name == "header" and level else _around(name, attributes):
+            mark = marks.add(hint, mark)
+        open_.setdefault(name, []).append(len(stack))
+        stack.append((name, level, mark))
+
+    def pop(name: str) -> None:
+        """Close the innermost open element of this name, and all inside it."""
+        nonlocal link
+        if not open_.get(name):
+            return
+        k = open_[name][-1]
+        for inner, _, _ in reversed(stack[k:]):
+            open_[inner].pop()
+        del stack[k:]
+        if link > k:
+            link = 0
 
     at = 0
     for start, end, name, closing, attributes in _tags(source):
         if start > at:
             piece = source[at:start]
             parts.append(piece)
-            if in_link:
+            if link:
                 linked.append(piece)
         at = end
         if not name:
             continue
         if name == "a":
-            in_link = not closing
+            if closing or _HREF.search(attributes):
+                link = 0 if closing else len(stack)
             continue
         if name in INLINE:
             if closing:
                 if stack[-1][0] == name:
                     close()
-                    stack.pop()
-            elif attributes and not attributes.rstrip().endswith("/") and _around(name, attributes) == 2:
+                    pop(name)
+            elif attributes and not attributes.rstrip().endswith("/") and _around(name, attributes) > 1:
                 close()
-                stack.append(inside(name, attributes))
+                push(name, attributes)
             continue
         close()
         if name in VOID:
@@ -196,20 +228,19 @@ def blocks_of(source: str) -> tuple[list[Block], list[int]]:
             # Ends of these are often left out, so they are no levels unless they say what they are.
             if closing:
                 if stack[-1][0] == name:
-                    stack.pop()
+                    pop(name)
             elif attributes and _around(name, attributes):
-                stack.append(inside(name, attributes))
+                push(name, attributes)
             continue
         if closing:
-            for k in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            pop(name)
         elif not attributes.rstrip().endswith("/"):
-            stack.append(inside(name, attributes))
+            push(name, attributes)
     parts.append(source[at:])
+    if link:
+        linked.append(source[at:])
     close()
-    return blocks, sure
+    return blocks, marks
 
 
 FEATURES = (
@@ -217,13 +248,14 @@ FEATURES = (
 )
 
 
-def features_of(blocks: list[Block], sure: list[int]) -> np.ndarray:
+def features_of(blocks: list[Block], marks: Marks) -> np.ndarray:
     """A row for each block: its words and link density, the same of both neighbours, its tag, whether it stands within
     the page's main element, and how many elements around it say that they are not of the main text.
 
     within: 1 inside an article (or main element, where the page has no article), 0.5 inside main beside an article, 0
     on pages without such an element, -1 outside of it. around: a hint that a wrapper may give counts only where the
-    element holds no more than half of the page's words."""
+    element holds no more than half of the page's words, and a name of TOPICS only where other text is left: what a page
+    consists of does not go around it."""
     words = np.array([0, *(b.words for b in blocks), 0], dtype=np.float64)
     density = np.array([0, *(b.linked / b.words for b in blocks), 0])
     plain = np.array([b.words - b.linked for b in blocks], dtype=np.float64)
@@ -234,17 +266,31 @@ def features_of(blocks: list[Block], sure: list[int]) -> np.ndarray:
         if best == 0 and (level >= k).any() and (held >= LEAST_SHARE * whole or whole - held < LEAST_WHOLE):
             best = k
     within = np.where(level >= best, 1.0, np.where(level > 0, 0.5, -1.0)) if best else np.zeros(len(blocks))
-    held = np.zeros(len(sure))
-    for b, n in zip(blocks, plain.tolist(), strict=True):
-        held[list(b.marks)] += n
-    counts = [s == 2 or 2 * h <= whole for s, h in zip(sure, held.tolist(), strict=True)]
-    around = np.array([min(2, sum(counts[k] for k in b.marks)) for b in blocks], dtype=np.float64)
+    own = np.array([b.mark for b in blocks])
+    held = np.zeros(len(marks.hint))
+    np.add.at(held, own[own >= 0], plain[own >= 0])
+    for k in range(len(held) - 1, -1, -1):  # an element comes after those around it
+        if marks.parent[k] >= 0:
+            held[marks.parent[k]] += held[k]
+
+    def depth(counts: list[bool]) -> np.ndarray:
+        path = np.zeros(len(counts) + 1)
+        for k, (c, up) in enumerate(zip(counts, marks.parent, strict=True)):
+            path[k] = path[up] + c  # path[-1] stays 0
+        return np.minimum(path[own], 2)
+
+    counts = [h > 1 or 2 * n <= whole for h, n in zip(marks.hint, held.tolist(), strict=True)]
+    around = depth(counts)
+    if plain[around == 0].sum() < ONLY:
+        around = depth([c and h != 2 for c, h in zip(counts, marks.hint, strict=True)])
     tag = np.array([b.tag for b in blocks], dtype=np.float64)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], tag, within, around])
 
 
 #: An article with less than this share of the words is a teaser, if there are this many words beside it.
 LEAST_SHARE, LEAST_WHOLE = 0.1, 200
+#: Words beside elements with telling names, fewer than which are no text.
+ONLY = 5
 
 # The small labelled table: layouts of pages, as elements with their blocks. A block is a label ("+": main text), its
 # number of words, and "a" if it is a link, "h" a heading, "l" a list's entry; "al" is a link in a list.
@@ -355,10 +401,10 @@ def trained():
 
 
 def main_text(source: str) -> str:
-    blocks, sure = blocks_of(source)
+    blocks, marks = blocks_of(source)
     if not blocks:
         return ""
-    keep = verdicts(trained(), features_of(blocks, sure))
+    keep = verdicts(trained(), features_of(blocks, marks))
     return " ".join(b.text for b, kept in zip(blocks, keep, strict=True) if kept)
 
 
