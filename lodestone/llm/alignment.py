@@ -25,9 +25,9 @@ from .encoding import VOCABULARY, _encoder
 
 PIECES = "piece_bpe_32k.model"
 #: Words that a task remembers, and their characters: beyond either, it forgets them all and goes on.
-WORDS, CHARACTERS = 600_000, 16 << 20
+WORDS, CHARACTERS = 300_000, 8 << 20
 #: Tokens that one round of joins aligns; a longer word is cut where tokens of both end.
-ROUND = 1 << 19
+ROUND = 1 << 17
 #: Different id pairs whose counts a task holds before it hands them on, and pairs in one row of them.
 HELD, IN_ROW = 1 << 20, 1 << 14
 #: Id pairs that more than one in so many rows hold are broadcast: fewer than this many, 24 bytes each.
@@ -239,7 +239,7 @@ class Aligner:
 def _aligned(batches, vocabulary: str, pieces: str, memory: str, texts: bool):
     aligner = Aligner(vocabulary, pieces, memory)
     row = TaskContext.get().partitionId() << 40
-    for batch in slices(batches, size=4 << 20):
+    for batch in slices(batches, size=1 << 20):
         groups, totals, pairs, times = aligner.documents(batch.column("text").to_pylist())
         columns = [
             pa.array(range(row, row + len(batch)), pa.int64()), batch.column("doc_id"), *(pa.array(totals[:, k]) for k in range(4)),
@@ -258,10 +258,10 @@ class Alignment:
     A row of ``docs`` is a document, also where rows repeat or share a doc_id; a null doc_id stays null and further columns
     are ignored. A text that is null or empty, or whose tokens of either side do not join to its own bytes, has no tokens.
     ``texts`` keeps the groups themselves, some ten times the text. A task holds the words it has met, up to ``WORDS`` of
-    them, the counts of up to 2 x ``HELD`` pairs, and a few MB of texts at a time; ``memory`` bounds its DuckDB.
+    them, the counts of up to 2 x ``HELD`` pairs, and a MB of texts at a time; ``memory`` bounds its DuckDB.
     """
 
-    def __init__(self, docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES, texts: bool = False, memory: str = "600MB"):
+    def __init__(self, docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES, texts: bool = False, memory: str = "400MB"):
         made = documents_of(docs).mapInArrow(lambda batches: _aligned(batches, vocabulary, pieces, memory, texts), SCHEMA)
         self.written = materialize(made, "aligned")
         self.documents = self.written.where(F.col("row").isNotNull())
