@@ -14,7 +14,7 @@ from ..functions.vocabulary import (
 from ..operators import (
     blast, changes, cycles, diff, docgraph, extract, graph, history, insights, knowledge, layout, mentions, score, search, spatial, tree,
 )
-from ..sources import code_facts, ingest
+from ..sources import code_facts, ingest, stored
 from . import fixtures as fx
 from .storage import materialize
 
@@ -539,6 +539,26 @@ def search_summary(spark, d):
     return search.search_summary(search.literal_search(fx.load(spark, d, fx.FILES), _NEEDLE))
 
 
+@query(_LINES + "SELECT * FROM r")
+def early_search(spark, d):
+    return stored.store(fx.load(spark, d, fx.FILES)).search("docs", _NEEDLE).matches.drop("context")
+
+
+@query(_LINES + """, every AS (SELECT batch, coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT DISTINCT batch FROM b) x LEFT JOIN pb USING (batch))
+SELECT 'docs' AS corpus, (SELECT count(DISTINCT path) FROM r) AS files, (SELECT count(*) FROM r) AS matches, (SELECT max(before) >= 300 FROM every) AS truncated""")
+def search_totals(spark, d):
+    found = stored.store(fx.load(spark, d, fx.FILES)).search("docs", _NEEDLE)
+    return spark.createDataFrame([("docs", found.files, found.n_matches, found.truncated)], "corpus string, files long, matches long, truncated boolean")
+
+
+@query(f"SELECT f.corpus, f.path, sha256(f.src) AS sha FROM ({fx.duck(fx.FILES)}) f JOIN ({fx.duck(fx.PASSAGES)}) p ON f.path = concat(p.heading, '/en/', p.pid, '.txt')")
+def stored_texts(spark, d):
+    wanted = fx.load(spark, d, fx.PASSAGES).select("corpus", F.concat("heading", F.lit("/en/"), "pid", F.lit(".txt")).alias("path"))
+    found = stored.store(fx.load(spark, d, fx.FILES)).texts(wanted)
+    return found.select("corpus", "path", F.sha2("src", 256).alias("sha"))
+
+
 _COMMANDS = """SELECT 'star' AS corpus, id, label, hint, keywords FROM (VALUES ('open', 'Open supplier map', 'Show it', 'supplier graph view'), ('diff', 'Compare builds', 'Pick two', 'history'), ('find', 'Find supplier', 'By name', 'search')) v(id, label, hint, keywords)"""
 _R = "round(3 + sqrt(degree / (SELECT max(degree) FROM degree)) * 14, 2)"
 
