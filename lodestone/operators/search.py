@@ -103,7 +103,5 @@ def map_search(nodes: DataFrame, query: str, rows: int = 12) -> DataFrame:
 def highlight(text, words: list[str], open_: str = "<mark>", close: str = "</mark>", snippet: int = 420):
     """A text's start with the words marked, longest first."""
     column = F.substring(F.col(text), 1, snippet)
-
-
     pattern = "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)) if w)
     return F.regexp_replace(column, f"(?i)({pattern})", f"{open_}$1{close}") if pattern else column

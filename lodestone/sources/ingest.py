@@ -113,13 +113,16 @@ def document_files(files: DataFrame) -> DataFrame:
 
 
 def read_canonical_json(spark: SparkSession, path: str, corpus: str) -> tuple[DataFrame, DataFrame]:
-    """A canonical or raw graph file as nodes and links. Edges of the former are arrays of five by position."""
+    """A canonical or raw graph file as nodes and links. Edges of the former are arrays of five by position. A file that is neither,
+    without nodes or with neither edges nor links, is an error."""
     schema = (
         "nodes array<struct<id:string,label:string,kind:string,file_type:string,source_file:string,source_location:string,"
         "attrs:struct<path:string,loc:string>>>, edges array<array<string>>, links array<struct<source:string,target:string,"
         "relation:string,confidence:string,context:string,source_file:string,source_location:string>>"
     )
     doc = spark.read.schema(schema).json(path, multiLine=True)
+    if doc.where("nodes IS NULL OR (edges IS NULL AND links IS NULL)").limit(1).count():
+        raise ValueError(f"{path} holds no graph: nodes with edges or links are missing")
     node = doc.select(F.explode("nodes").alias("n")).select("n.*")
     nodes = node.select(
         F.lit(corpus).alias("corpus"), "id", "label", F.coalesce("kind", "file_type").alias("kind"),

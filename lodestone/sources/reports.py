@@ -8,7 +8,6 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 MOST_MAP_EDGES, LEGEND = 20_000, 24
 
 
@@ -20,6 +19,20 @@ def write_build(nodes: DataFrame, edges: DataFrame, folder: str) -> str:
     return stamp
 
 
+def write_json(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """Both tables as lines of JSON by corpus, with all columns that they have (places on a map too), and the manifest, which is
+    returned: corpus, nodes, edges, communities, build_id. Null fields are left out; a corpus of edges only is listed too."""
+    stamp = build_id(nodes, edges)
+    for name, table in (("nodes", nodes), ("edges", edges)):
+        table.write.mode("overwrite").partitionBy("corpus").json(f"{folder}/{name}")
+    groups = F.count_distinct("c") if "c" in nodes.columns else F.lit(0).cast("long")
+    counted = nodes.groupBy("corpus").agg(F.count("*").alias("nodes"), groups.alias("communities"))
+    counted = counted.join(edges.groupBy("corpus").agg(F.count("*").alias("edges")), "corpus", "full")
+    manifest = counted.select("corpus", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("nodes", "edges", "communities")], F.lit(stamp).alias("build_id"))
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    return nodes.sparkSession.read.schema(manifest.schema).json(f"{folder}/manifest")
+
+
 def build_id(nodes: DataFrame, edges: DataFrame, parameters: str = "") -> str:
     """Twelve hex digits from the content of both tables, whatever the order of rows."""
     parts = [
@@ -51,41 +64,40 @@ def _rows(table: DataFrame, *order: str) -> list[dict]:
     return [r.asDict() for r in table.orderBy(*order).collect()]
 
 
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    """A Markdown table, or one line where there is no row."""
+    if not rows:
+        return ["(none)", ""]
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
+    return [line(head), line(["-"] * len(head)), *map(line, rows), ""]
+
+
 def insights_report(corpus: str, totals: DataFrame, hubs: DataFrame, coupling: DataFrame, cycles: DataFrame, unused: DataFrame, entries: DataFrame, counts: tuple[int, int], on: str) -> str:
-    """A Markdown report of top-k results, which bounds what is collected. ``counts``: all unused, all entry points."""
-    mine = lambda t: t.where(F.col("corpus") == corpus)
-    t = _rows(mine(totals), "corpus")[0]
-    out = [f"# {corpus} — code map report", "", f"{t['nodes']:,} entities · {t['callables']} callables · {t['communities']} subsystems", "", f"Generated on {on}.", ""]
-    out += ["## Most depended-upon", "", "| Entity | Used by | File |", "|---|---:|---|"]
-    out += [f"| `{r['label']}` | {r['uses']} | {r['path']} |" for r in _rows(mine(hubs), "rank")]
-    found = _rows(mine(coupling), "rank")
-    out += ["", "## Reaches across subsystems", ""]
-    out += ["| Entity | Subsystems | Into |", "|---|---:|---|", *(f"| `{r['label']}` | {r['reaches']} | {r['reaches_into']} |" for r in found)] if found else ["_Nothing spans more than one subsystem._"]
-    found = _rows(mine(cycles), "rank")
-    out += ["", "## Dependency cycles", ""]
-    out += [f"- {r['size']} entities around `{r['component']}`" for r in found] or ["_None found._"]
-    out += ["", "## Possibly unused", "", f"{counts[0]} callables have no inbound reference; {counts[1]} more look like entry points or runtime hooks.", ""]
-    out += [f"- `{r['label']}` — {r['path']}:{r['loc'] or ''}" for r in _rows(mine(unused), "rank")]
-    out += ["", "Entry points and hooks:", ""]
-    out += [f"- `{r['label']}` — {r['why']} — {r['path']}" for r in _rows(mine(entries), "rank")]
-    return "\n".join(out) + "\n"
+    """What stands out in a corpus, as Markdown tables of top-k results, which bounds what is collected. ``counts``: all
+    callables without a caller, and those of them that something outside may start; ``on``: the date."""
+    top = lambda t, *cols: [[r[c] for c in cols] for r in _rows(t.where(F.col("corpus") == corpus), "rank")]
+    size = _rows(totals.where(F.col("corpus") == corpus), "corpus")[0]
+    out = [f"# Structure of {corpus}, {on}", "", *_table(["entities", "of them callable", "communities"], [[size["nodes"], size["callables"], size["communities"]]])]
+    out += ["## Where most links arrive", "", *_table(["entity", "links", "place"], top(hubs, "label", "uses", "path"))]
+    out += ["## Entities whose links enter several communities", "", *_table(["entity", "communities", "first of them", "place"], top(coupling, "label", "reaches", "reaches_into", "path"))]
+    out += ["## Entities that depend on each other in a ring", "", *_table(["first entity", "in the ring"], top(cycles, "component", "size"))]
+    out += [f"## Callables without a caller: {counts[0]}, and {counts[1]} that may be started from outside", ""]
+    out += [*_table(["callable", "place", "line"], top(unused, "label", "path", "loc")), *_table(["started from outside", "why", "place"], top(entries, "label", "why", "path"))]
+    return "\n".join(out)
 
 
 def impact_report(corpus: str, reached: DataFrame, nodes: DataFrame, roots: list[str], depth: int, direction: str = "in", most: int = 1000) -> str:
-    """A Markdown report of a blast radius: its rings, of each the first ``most`` entities by label."""
+    """What a change of ``roots`` may touch, as Markdown: a table of counts by distance, then the first ``most`` entities of
+    each distance by label. ``direction`` out: what the roots need themselves."""
     named = reached.where(F.col("corpus") == corpus).join(nodes.select("corpus", "id", "label", "path"), ["corpus", "id"], "left")
-    tally = {r["depth"]: r["n"] for r in named.groupBy("depth").agg(F.count("*").alias("n")).collect()}
-    unsure = named.where(~F.col("certain")).count()
-    word = "affected" if direction == "in" else "depended on"
-    out = [f"# Impact of changing {len(roots)} {'entity' if len(roots) == 1 else 'entities'}", "", f"**{sum(tally.values())}** {word} within {depth} hop{'s' if depth > 1 else ''} — {corpus}.", "", "Starting from:", ""]
-    out += [f"- `{r}`" for r in roots]
-    if unsure:
-        out += ["", f"> {unsure} of these are reached only over an **inferred** edge: possible rather than certain."]
-    for hop in sorted(tally):
-        out += ["", f"## {'Direct' if hop == 1 else f'{hop} hops'} ({tally[hop]})", ""]
-        for r in _rows(named.where(F.col("depth") == hop).orderBy("label", "id").limit(most), "label", "id"):
-            out.append(f"- `{r['label'] or r['id']}`" + (f" — {r['path']}" if r["path"] else "") + (f" _({r['via'].replace('_', ' ')})_" if r["via"] else "") + ("" if r["certain"] else " **inferred**"))
-    return "\n".join(out) + "\n"
+    tally = _rows(named.groupBy("depth").agg(F.count("*").alias("n"), F.count_if("certain").alias("sure")), "depth")
+    what = "Users" if direction == "in" else "Needs"
+    out = [f"# {what} of {', '.join(roots)} in {corpus}", "", f"Links followed: {depth}. Distances with a lower second figure hold entities that only guessed links lead to.", ""]
+    out += _table(["distance", "entities", "by links read from source"], [[r["depth"], r["n"], r["sure"]] for r in tally])
+    for r in tally:
+        some = _rows(named.where(F.col("depth") == r["depth"]).orderBy("label", "id").limit(most), "label", "id")
+        out += [f"## Distance {r['depth']}", "", *_table(["entity", "place", "link", "certainty"], [[x["label"] or x["id"], x["path"], x["via"], "read" if x["certain"] else "guessed"] for x in some])]
+    return "\n".join(out)
 
 
 def diff_report(corpus: str, changes: dict[str, DataFrame], drift: DataFrame, most: int = 40) -> str:
