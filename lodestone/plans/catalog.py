@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,17 +51,32 @@ degree AS (SELECT n.corpus, n.id, count(e.id) AS degree FROM nodes n LEFT JOIN (
 
 
 class Star:
-    """The canonical graph of the star tables."""
+    """The canonical graph of the star tables. Links, which two joins of the largest table make, are written once where a query
+    reads them more than once; ``edges_once`` are for those that don't."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.own, self.links = fx.load(spark, d, fx.NODES), fx.load(spark, d, fx.EDGES)
-        self.communities = fx.load(spark, d, fx.COMMUNITIES)
-        self.nodes = graph.canonical_nodes(self.own, self.links)
-        self.edges = graph.canonical_edges(self.links)
+        self.spark, self.d = spark, d
+        self.own, self.communities = fx.load(spark, d, fx.NODES), fx.load(spark, d, fx.COMMUNITIES)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return materialize(fx.load(self.spark, self.d, fx.EDGES), "star-links")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return materialize(graph.canonical_nodes(self.own, self.links), "star-nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.canonical_edges(self.links)
 
     @property
+    def edges_once(self) -> DataFrame:
+        return graph.canonical_edges(fx.load(self.spark, self.d, fx.EDGES))
+
+    @cached_property
     def collapsed(self) -> DataFrame:
-        return graph.collapsed_edges(self.nodes, self.edges)
+        return materialize(graph.collapsed_edges(self.nodes, self.edges), "star-collapsed")
 
     @property
     def degrees(self) -> DataFrame:
@@ -73,7 +89,7 @@ class Star:
 
 @query(_STAR + "SELECT corpus, s, t, weight, rel, conf FROM edges")
 def canonical_edges(spark, d):
-    return Star(spark, d).edges
+    return Star(spark, d).edges_once
 
 
 @query(_STAR + "SELECT corpus, id, label, kind, path, loc, c FROM nodes")
@@ -287,8 +303,12 @@ _DIFF = f"WITH n0 AS ({fx.duck(fx.NODES_BEFORE)}), n1 AS ({fx.duck(fx.NODES_AFTE
 
 
 def _builds(spark, d):
-    groups = fx.load(spark, d, fx.COMMUNITIES)
-    return tuple((fx.load(spark, d, n), fx.load(spark, d, e), groups) for n, e in ((fx.NODES_BEFORE, fx.EDGES_BEFORE), (fx.NODES_AFTER, fx.EDGES_AFTER)))
+    """Both builds, each one's links written once: its nodes are those that they leave."""
+    groups, out = fx.load(spark, d, fx.COMMUNITIES), []
+    for sql in (fx.EDGES_BEFORE, fx.EDGES_AFTER):
+        links = materialize(fx.load(spark, d, sql), "build-links")
+        out.append((fx.load(spark, d, fx.surviving("SELECT * FROM {links}"), links=links), links, groups))
+    return tuple(out)
 
 
 @query(_DIFF + "SELECT corpus, id, label, path, 'added' AS change FROM n1 WHERE id NOT IN (SELECT id FROM n0) UNION ALL SELECT corpus, id, label, path, 'removed' FROM n0 WHERE id NOT IN (SELECT id FROM n1)")
@@ -425,7 +445,7 @@ def passage_lengths(spark, d):
 
 @query(_SAID + "SELECT corpus, term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM p) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM post GROUP BY corpus, term")
 def term_stats(spark, d):
-    p = fx.load(spark, d, fx.PASSAGES)
+    p = knowledge.tokenised(fx.load(spark, d, fx.PASSAGES))
     return knowledge.term_stats(knowledge.passage_terms(p), knowledge.passage_lengths(p)).withColumn("idf", F.round("idf", 6))
 
 

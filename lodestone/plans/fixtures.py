@@ -60,11 +60,11 @@ def _build(where: str) -> str:
 EDGES_BEFORE, EDGES_AFTER = _build(_BEFORE), _build(_AFTER)
 
 
-def _surviving(edges: str) -> str:
+def surviving(edges: str) -> str:
     return f"SELECT n.* FROM ({NODES}) n WHERE id LIKE 'nation_%' OR id IN (SELECT s FROM ({edges}) e) OR id IN (SELECT t FROM ({edges}) e)"
 
 
-NODES_BEFORE, NODES_AFTER = _surviving(EDGES_BEFORE), _surviving(EDGES_AFTER)
+NODES_BEFORE, NODES_AFTER = surviving(EDGES_BEFORE), surviving(EDGES_AFTER)
 
 #: Events as a log of builds, queries and file views.
 BUILDS = f"""SELECT concat('build_', {_text("event_id")}) AS id, concat('corpus_', {_text("user_id % 10")}) AS name, ts AS saved_at,
