@@ -1,5 +1,6 @@
 """The rules of graph, insights, blast radius, cycles and diff on hand-built graphs."""
 
+import math
 import random
 from collections import deque
 
@@ -184,3 +185,19 @@ def test_hit_test_takes_the_nearest(spark):
 @pytest.mark.parametrize(("rank", "hue"), [(0, 0), (1, 138), (3, 53)])
 def test_hues(spark, rank, hue):
     assert spark.range(1).select(insights.hue(F.lit(rank))).first()[0] == hue
+
+
+def test_unconnected_nodes_stand_evenly_outside(spark):
+    rng = random.Random(6)
+    rows = [("x", f"n{k:03}", 0, rng.uniform(-50, 50), rng.uniform(-50, 50)) for k in range(200)] + [("x", f"o{k:03}", 1, 0.0, 0.0) for k in range(24)] + [("y", "alone", 0, 3.0, 3.0)]
+    at = spark.createDataFrame(rows, "corpus string, id string, c int, x double, y double")
+    degree = spark.createDataFrame([(c, i, 0 if i[0] in "oa" else 2) for c, i, *_ in rows], "corpus string, id string, degree long")
+    found = {(r["corpus"], r["id"]): (r["x"], r["y"]) for r in layout.parked(at, degree).collect()}
+    tied = [(x, y) for c, i, _, x, y in rows if i[0] == "n"]
+    bx, by = (sum(v) / len(tied) for v in zip(*tied, strict=True))
+    edge = sorted(math.hypot(x - bx, y - by) for x, y in tied)[int(len(tied) * 0.99)]
+    for k in range(24):
+        x, y = found["x", f"o{k:03}"]
+        assert abs((math.atan2(y - by, x - bx) - k / 24 * 2 * math.pi + math.pi) % (2 * math.pi) - math.pi) < 1e-9
+        assert abs(math.hypot(x - bx, y - by) / (edge * 1.08) - 1) <= 0.03
+    assert all(found["x", i] == (x, y) for c, i, _, x, y in rows if i[0] == "n") and abs(math.hypot(*found["y", "alone"]) / 1.08 - 1) <= 0.03
