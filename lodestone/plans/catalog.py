@@ -478,7 +478,21 @@ def _markdown(spark, d):
     return files.select("corpus", F.regexp_replace("path", r"\.txt$", ".md").alias("path"), text.alias("text"))
 
 
-@query()
+_SECTIONS = rf"""WITH md AS (SELECT corpus, regexp_replace(path, '\.txt$', '.md') AS path, string_split(regexp_replace(src, '(?m)^(\S+ ?\S* ?\S*\.)$', '## \1' || chr(10), 'g'), chr(10)) AS lines FROM ({fx.duck(fx.FILES)}) f),
+l AS (SELECT corpus, path, unnest(lines) AS raw, generate_subscripts(lines, 1) AS pos FROM md), n AS (SELECT *, lead(raw) OVER (PARTITION BY path ORDER BY pos) AS next FROM l),
+a AS (SELECT *, regexp_matches(raw, '^#{{1,6}}\s+.*$') AS atx FROM n),
+u AS (SELECT *, NOT atx AND coalesce(trim(raw) <> '' AND regexp_matches(next, '^(={{3,}}|-{{3,}}|~{{3,}}|\^{{3,}}|"{{3,}})\s*$') AND NOT regexp_matches(raw, '^\s*[-*+]\s'), false) AS under FROM a),
+w AS (SELECT *, coalesce(lag(under) OVER (PARTITION BY path ORDER BY pos), false) AS below FROM u), h AS (SELECT *, (atx OR under) AND NOT below AS heads FROM w),
+k AS (SELECT *, sum(heads::INT) OVER (PARTITION BY path ORDER BY pos) AS no, CASE WHEN atx THEN trim(regexp_extract(raw, '^#{{1,6}}\s+(.*?)\s*#*$', 1)) ELSE trim(raw) END AS title,
+  CASE WHEN atx THEN length(regexp_extract(raw, '^(#{{1,6}})', 1)) WHEN substr(trim(next), 1, 1) = '=' THEN 1 ELSE 2 END AS depth FROM h),
+s AS (SELECT corpus, path, no, coalesce(max(title) FILTER (heads), '') AS heading, coalesce(max(depth) FILTER (heads), 0) AS level, min(pos) AS line,
+  coalesce(bool_or(regexp_matches(raw, '\S')) FILTER (NOT heads AND NOT below), false) AS said FROM k GROUP BY corpus, path, no),
+b AS (SELECT *, concat(path, '#', coalesce(nullif(substr(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), concat('s', no))) AS base FROM s),
+i AS (SELECT *, row_number() OVER (PARTITION BY corpus, base ORDER BY no) AS same FROM b)
+SELECT corpus, path, CASE WHEN same > 1 THEN concat(base, '-', same) ELSE base END AS section_id, heading, CAST(level AS INTEGER) AS level, CAST(line AS INTEGER) AS line FROM i WHERE heading <> '' OR said"""
+
+
+@query(_SECTIONS)
 def document_sections(spark, d):
     return knowledge.sections(_markdown(spark, d)).select("corpus", "path", "section_id", "heading", "level", "line")
 
