@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents_of, fresh, join_hot, materialize, slices
+from .common import connected_components, discard, documents_of, fresh, join_hot, materialize, release, slices
 
 SHINGLE = 3
 SEED = 42
@@ -16,6 +16,8 @@ BUDGET = 2
 BITS = 64
 #: Levels of the trie that one step goes down: the children of a node are the bits of one long.
 STEP = 6
+#: Steps after which the pairs of nodes are written.
+WRITTEN = 2
 
 
 def fingerprint(text: bytes) -> int:
@@ -76,7 +78,7 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
     budget of 2, so no node is a hot key, however the leaves crowd; pairs are most where the trie gets sparse, at about
     the logarithm of the number of leaves, and fall off below.
     """
-    leaves = materialize(keys.select("fp"), "simhash-leaves")
+    leaves, written = materialize(keys.select("fp"), "simhash-leaves"), None
     pairs = keys.sparkSession.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("a", "b")], F.lit(0).alias("d"))
     for depth in range(0, BITS, STEP):
         step = min(STEP, BITS - depth)
@@ -92,6 +94,13 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
         met = met.where("shiftright(there, y) & 1 = 1 and (a <> b or x < y or (x = y and shiftright(many, x) & 1 = 1))")
         below = [F.shiftleft(up, step).bitwiseOR(F.col(child).cast("long")).alias(up) for up, child in (("a", "x"), ("b", "y"))]
         pairs = met.select(*below, (F.col("d") + F.bit_count("e")).cast("int").alias("d"))
+        if depth // STEP % WRITTEN == WRITTEN - 1:
+            # A plan of all steps at once is more than a driver need hold, and keeps the shuffles of all steps on disk.
+            before, written = written, materialize(pairs, "simhash-pairs")
+            pairs = written
+            if before is not None:
+                discard(before)
+            release(keys.sparkSession)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
