@@ -684,7 +684,9 @@ def sanitise_ids(spark, d):
 def captured_sources(spark, d):
     files = fx.load(spark, d, _FH).select("corpus", F.regexp_replace("path", r"\.html$", ".md").alias("path"), "src")
     none = files.select("corpus", F.lit("x").alias("id"), F.lit(None).cast("string").alias("path")).limit(0)
-    return ingest.captured_sources(files.dropDuplicates(["corpus", "path"]), none).select("corpus", "path")
+    # Of a repeated path the longest text, of equally long ones that of least hash.
+    files = files.groupBy("corpus", "path").agg(F.max_by("src", F.struct(F.length("src"), -F.xxhash64("src").cast("decimal(38,0)"))).alias("src"))
+    return ingest.captured_sources(files, none).select("corpus", "path")
 
 
 _POINTS = "SELECT 'star' AS corpus, o_orderkey AS point, CAST(o_orderkey * 7919 % 4000 AS DOUBLE) AS x, CAST(o_orderkey * 104729 % 4000 AS DOUBLE) AS y FROM {orders}"
