@@ -57,3 +57,18 @@ def test_no_nodes_no_points(spark):
     none, point = both(spark, [("m", "n", 1.0, 1.0, 1.0)], [("m", 1, 1.0, 1.0)])
     assert spatial.nearest(none.where("false"), point).count() == 0 and spatial.nearest(none, point.where("false")).count() == 0
     assert spatial.exact_hit(none.where("false"), point).count() == 0
+
+
+def test_places_that_repeat_are_searched_once(spark, monkeypatch):
+    """Nodes and points crowd in few places: what is written and joined follows the places, not their product."""
+    rng = random.Random(7)
+    nodes = [("a", f"n{i:04d}", float(7 * (i % 5)), float(11 * (i % 5)), float(5 + i % 3)) for i in range(2000)]
+    points = [("a", p, float(rng.randrange(-2, 32)), float(3 * (p % 4))) for p in range(3000)]
+    n, p = both(spark, nodes, points + points[:50])
+    assert all(found.count() == found.select("point").distinct().count() for found in (spatial.hit_test(n, p), spatial.exact_hit(n, p)))
+    assert told(spatial.nearest(n, p)) == scan(nodes, points)
+    assert told(spatial.hit_test(n, p)) == told(spatial.exact_hit(n, p)) == scan(nodes, points, 1.0)
+    rows, write = [], spatial.materialize
+    monkeypatch.setattr(spatial, "materialize", lambda df, label: rows.append((out := write(df, label)).count()) or out)
+    spatial.nearest(n, p).count()
+    assert max(rows) <= 5 * 34 * 4
