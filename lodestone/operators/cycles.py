@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 from .graph import usage
 
 TOP = 10
@@ -37,23 +38,25 @@ def _settled(edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
     number = F.explode(F.sequence(F.lit(0), F.lit(2 * PIVOTS - 1))).alias("k")
     ids = edges.select("corpus", F.explode(F.array("s", "t")).alias("id")).distinct().select("corpus", "id", number)
     hashed = F.xxhash64("id", F.lit(turn), F.floor(F.col("k") / 2))
-    labels = ids.select("corpus", "id", "k", F.struct(hashed.alias("hash"), F.col("id").alias("owner")).alias("label"))
-    rounds = 0
+    labels = materialize(ids.select("corpus", "id", "k", F.struct(hashed.alias("hash"), F.col("id").alias("owner")).alias("label")), "cycle-labels")
+    steps = 0
     while True:
-        rounds += 1
-        for _ in range(HOPS):
-            own = labels.select("corpus", "id", "k", "label", F.lit(True).alias("own"))
-            at = labels.select("corpus", F.col("id").alias("x"), "k", "label", (F.col("k") % 2).alias("d"))
-            pushed = arcs.join(at, ["corpus", "x", "d"]).select("corpus", F.col("y").alias("id"), "k", "label", F.lit(False).alias("own"))
-            owners = labels.select("corpus", "k", F.col("id").alias("owner"), F.col("label").alias("further"))
-            jumped = labels.withColumn("owner", F.col("label.owner")).join(owners, ["corpus", "k", "owner"])
-            jumped = jumped.select("corpus", "id", "k", F.col("further").alias("label"), F.lit(False).alias("own"))
-            grouped = own.unionByName(pushed).unionByName(jumped).groupBy("corpus", "id", "k")
-            labels = grouped.agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("was"))
-            labels = labels.select("corpus", "id", "k", "label", (F.col("was") != F.col("label")).alias("moved"))
-        labels = materialize(labels, "cycle-labels")
+        steps += 1
+        own = labels.select("corpus", "id", "k", "label", F.lit(True).alias("own"))
+        at = labels.select("corpus", F.col("id").alias("x"), "k", "label", (F.col("k") % 2).alias("d"))
+        pushed = arcs.join(at, ["corpus", "x", "d"]).groupBy("corpus", F.col("y").alias("id"), "k").agg(F.min("label").alias("label"))
+        pushed = pushed.select("corpus", "id", "k", "label", F.lit(False).alias("own"))
+        owners = labels.select("corpus", "k", F.col("id").alias("owner"), F.col("label").alias("further"))
+        jumped = labels.withColumn("owner", F.col("label.owner")).join(owners, ["corpus", "k", "owner"])
+        jumped = jumped.select("corpus", "id", "k", F.col("further").alias("label"), F.lit(False).alias("own"))
+        grouped = own.unionByName(pushed).unionByName(jumped).groupBy("corpus", "id", "k")
+        new = grouped.agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("was"))
+        # A step reads the labels four times: steps in one plan would multiply it, so each is written.
+        new = materialize(new.select("corpus", "id", "k", "label", (F.col("was") != F.col("label")).alias("moved")), "cycle-labels")
+        discard(labels)
+        labels = new
         if labels.where("moved").isEmpty():
-            return labels.drop("moved"), rounds
+            return labels.drop("moved"), math.ceil(steps / HOPS)
 
 
 def strong_components(edges: DataFrame) -> tuple[DataFrame, int]:

@@ -81,3 +81,16 @@ def test_no_cycles_none_at_all_and_several_corpora(spark):
     rows = [("x", "a", "b"), ("x", "b", "a"), ("x", "b", "a"), ("y", "b", "a"), ("y", "a", "c"), ("y", "c", "b")]
     found = cycles.strong_components(spark.createDataFrame(rows, schema))[0]
     assert {(r["corpus"], r["id"], r["component"]) for r in found.collect()} == {("x", "a", "a"), ("x", "b", "a"), ("y", "a", "a"), ("y", "b", "a"), ("y", "c", "a")}
+
+
+def test_a_step_plans_few_reads_of_the_labels(spark, monkeypatch):
+    """Steps in one plan multiply it: the driver holds a few reads at any time, not four to the power of the steps."""
+    leaves, write = [], cycles.materialize
+
+    def counted(df, label):
+        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return write(df, label)
+
+    monkeypatch.setattr(cycles, "materialize", counted)
+    check(spark, [p for i in range(40) for p in [(2 * i, 2 * i + 1), (2 * i + 1, 2 * i), (2 * i + 1, 2 * i + 2)]])
+    assert max(leaves) <= 16
