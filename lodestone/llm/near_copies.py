@@ -1,14 +1,17 @@
-"""Groups of texts whose word shingles agree by a Jaccard similarity of at least 4/5: an exact prefix-filter join."""
+"""Groups of texts whose word shingles agree by a Jaccard similarity of at least 4/5: tries of SimHash fingerprints give the
+candidates, whole sets verify them, and an exact prefix-filter join finds the links that all tries miss."""
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bitmap
+from . import bitmap, simhash
 from .common import connected_components, discard, documents_of, fresh, materialize, release, slices
 
 SHINGLE = 5
@@ -21,6 +24,13 @@ SAMPLE, RECURS, MOST_RECURRING = 4, 5, 1 << 18
 DENSE, HUBS = 4, 4
 #: 64-bit words of a set's sketch: of each bit, whether an odd number of the set's hashes falls on it.
 SKETCH = 8
+#: Fingerprints of a set, each in a trie of its own, their bits, and the bits by which those of candidates differ at most. Sets alike
+#: by 4/5 differ in 0.15 of the bits, so they are within the budget of one of the tries at least with a chance of 0.86.
+TREES, TREE_BITS, BUDGET = 32, 28, 1
+#: Bits of a trie's number in its keys, and the tries that are joined at once.
+ROOT, AT_ONCE = 6, 16
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, TREES * TREE_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -42,18 +52,32 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of a set, TREES of TREE_BITS bits: the majority bits of its hashes, mixed anew for every 64 of them."""
+    ones = np.zeros(TREES * TREE_BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[at : at + 255, None] * _ODD
+        x ^= x >> np.uint64(29)
+        x *= _MIX
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * ones > len(hashes)).reshape(TREES, TREE_BITS) @ (1 << np.arange(TREE_BITS))
+
+
+def _lists(values: list[np.ndarray], dtype=np.int64) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, dtype=np.int64)]).astype(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, dtype=dtype)]).astype(dtype)))
 
 
 def _classes(batches):
-    """The rows with the class of their set and its sketch in place of the text."""
+    """The rows with the class of their set, its size, sketch and fingerprints in place of the text."""
     for batch in slices(batches):
         found = [shingles(text.encode()) for text in batch.column("text").to_pylist()]
         classes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64).view(np.int64))
         columns = [batch.column(c) for c in ("doc_id", "key", "at")]
-        yield pa.RecordBatch.from_arrays([*columns, classes, _lists([sketch(s) for s in found])], ["doc_id", "key", "at", "cls", "s"])
+        sizes = pa.array([len(s) for s in found], pa.int32())
+        made = [sizes, _lists([sketch(s) for s in found]), _lists([fingerprints(s) for s in found], np.int32)]
+        yield pa.RecordBatch.from_arrays([*columns, classes, *made], ["doc_id", "key", "at", "cls", "size", "s", "t"])
 
 
 def _sets(filled):
@@ -124,29 +148,78 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
-def _members(texts: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, component) of the classes of ``sets``, made of ``texts``, that are close to another one; None where none is.
+_APART = " + ".join(f"bit_count(a.s[{k}] ^ b.s[{k}])" for k in range(SKETCH))
+
 
-    The first common shingle of two close sets, at i of n and j of m, leaves at least 4/9 (n + m) in both, so they meet
-    in their prefixes. Close sets differ in at most (n + m) / 9 shingles, and so do their sketches in bits: the join on
-    a shingle lets only such pairs through. Where a shingle has many classes, each is compared with HUBS of them, half of
-    them those where it stands first, so with the fewest shingles of their own and nearest to what the group has in
-    common, and the others by chance, new ones in each round; only pairs that no component holds yet are left, and all
-    of those are compared in the end.
+def _candidates(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v, u_at, v_at) of the classes in prints(cls, at, t) that a trie of their fingerprints brings together.
+
+    The tries are joined with themselves within BUDGET. A leaf has one class that stands for it, another one by chance in each
+    trie: it meets those of the leaves nearby and the others of its leaf, so crowded leaves are never expanded to pairs.
     """
-    about = materialize(sets.groupBy("cls").agg(F.min("at").alias("at"), F.first("s").alias("s")), "near-copies-classes")
-    posts, parts, before, turn = _postings(texts, about), None, None, 0
+    out = []
+    for first in range(0, TREES, AT_ONCE):
+        some = prints.select(F.struct("cls", "at").alias("one"), F.posexplode(F.slice("t", first + 1, AT_ONCE)).alias("tree", "path"))
+        fp = F.expr(f"shiftleft(cast(tree as bigint), {64 - ROOT}) | shiftleft(cast(path as bigint), {64 - ROOT - TREE_BITS})")
+        some = some.select("one", fp.alias("fp"))
+        heads = some.groupBy("fp").agg(F.min_by("one", F.xxhash64("one.cls", "fp")).alias("head"), F.count("*").alias("n"))
+        heads = materialize(heads, "near-copies-leaves")
+        near = simhash.close_pairs(heads.select("fp"), BUDGET, ROOT, TREE_BITS)
+        key = F.shiftrightunsigned("fp", 64 - ROOT - TREE_BITS)
+        side = lambda end, name: heads.select(key.alias(end), F.col("head").alias(name))  # noqa: B023, E731
+        across = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+        within = some.join(heads.where("n > 1"), "fp").select(F.col("one").alias("x"), F.col("head").alias("y"))
+        both = across.unionByName(within).where("x.cls <> y.cls")
+        both = both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        both = both.select(F.col("u.cls").alias("u"), F.col("v.cls").alias("v"), F.col("u.at").alias("u_at"), F.col("v.at").alias("v_at"))
+        out.append(materialize(both, "near-copies-met"))
+        discard(near, heads)
+        release(prints.sparkSession)
+    met = materialize(functools.reduce(DataFrame.unionByName, out).distinct(), "near-copies-met")
+    discard(*out)
+    return met
+
+
+def _trie_parts(texts: DataFrame, about: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, component) of the classes that the tries' candidates link: those of close sketches first, then of close sets."""
+    met = _candidates(prints)
+    side = lambda end: about.select(F.col("cls").alias(end), F.struct("size", "s").alias({"u": "a", "v": "b"}[end]))
+    near = met.join(side("u"), "u").join(side("v"), "v")
+    near = near.where(f"9 * least(a.size, b.size) >= 4 * (a.size + b.size) and 9 * ({_APART}) <= a.size + b.size")
+    near = materialize(near.select("u", "v", "u_at", "v_at"), "near-copies-pairs")
+    discard(met)
+    links = _verified(near, texts)
+    discard(near)
+    parts = materialize(connected_components(links, "near-copies-components"), "near-copies-members")
+    discard(links)
+    release(texts.sparkSession)
+    return parts
+
+
+def _members(texts: DataFrame, about: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, component) of the classes in ``about``, made of ``texts``, that are close to another one.
+
+    The tries' candidates come first. The links they miss are found exactly: the first common shingle of two close sets, at i
+    of n and j of m, leaves at least 4/9 (n + m) in both, so they meet in their prefixes. Close sets differ in at most (n + m) / 9
+    shingles, and so do their sketches in bits: the join on a shingle lets only such pairs through. Where a shingle has many
+    classes, each is compared with HUBS of them, half of them those where it stands first, so with the fewest shingles of their
+    own and nearest to what the group has in common, and the others by chance, new ones in each round; only pairs that no
+    component holds yet are left, and all of those are compared in the end. Postings of one component alone meet nobody.
+    """
+    parts, before, turn = _trie_parts(texts, about, prints), None, 0
+    posts = _postings(texts, about)
     n_posts = posts.count()
     release(posts.sparkSession)
-    apart = " + ".join(f"bit_count(a.s[{k}] ^ b.s[{k}])" for k in range(SKETCH))
-    near = F.expr(f"a.h = b.h and a.part <> b.part and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n) and 9 * ({apart}) <= a.n + b.n")
+    near = F.expr(f"a.h = b.h and a.part <> b.part and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n) and 9 * ({_APART}) <= a.n + b.n")
     while n_posts:
-        of = about.withColumn("part", F.col("cls"))
-        if parts is not None:
-            of = about.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
-        at = materialize(posts.join(of, "cls"), "near-copies-parts")
+        of = about.select("cls", "at", "s").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
+        keyed = materialize(posts.join(of.select("cls", "part"), "cls"), "near-copies-keyed")
+        mixed = keyed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
+        at = materialize(keyed.join(mixed, "h", "left_semi").join(of.select("cls", "at", "s"), "cls"), "near-copies-parts")
+        discard(keyed)
+        release(posts.sparkSession)
         size = at.groupBy("h", "part").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        open_pairs = size.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0]
+        open_pairs = size.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0.0))).first()[0]
         met = at.alias("a").join(at.alias("b"), near & F.expr("a.cls < b.cls"))
         if open_pairs > DENSE * n_posts and turn:
             open_pairs = met.count()
@@ -166,13 +239,13 @@ def _members(texts: DataFrame, sets: DataFrame) -> DataFrame | None:
         discard(pairs)
         release(posts.sparkSession)
         # Members joined to their component stand for all links found so far.
-        known = links if parts is None else links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        known = links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
         old, parts = parts, materialize(connected_components(known, "near-copies-components"), "near-copies-members")
-        discard(links, *([old] if old is not None else []))
+        discard(links, old)
         if last:
             break
         before, turn = open_pairs if turn else None, turn + 1
-    discard(posts, about)
+    discard(posts)
     return parts
 
 
@@ -185,13 +258,16 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     keyed = documents_of(docs).select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("at"), "text")
     texts = keyed.select("at", "text")
-    sets = materialize(keyed.mapInArrow(_classes, "doc_id long, key long, at long, cls long, s array<long>"), "near-copies")
+    sets = materialize(keyed.mapInArrow(_classes, "doc_id long, key long, at long, cls long, size int, s array<long>, t array<int>"), "near-copies")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
-    kept = sets.groupBy("cls").agg(F.min(order).alias("row"))
-    parts = _members(texts, sets)
-    if parts is not None:
-        kept = kept.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-        kept = kept.groupBy(F.coalesce("component", "cls")).agg(F.min("row").alias("row"))
+    kept = materialize(sets.groupBy("cls").agg(F.min(order).alias("row"), F.min("at").alias("at")), "near-copies-classes")
+    own = sets.join(kept.select("cls", "at"), ["cls", "at"], "left_semi").dropDuplicates(["cls"])
+    about, prints = (materialize(own.select("cls", "at", *columns), "near-copies-classes") for columns in (("size", "s"), ("t",)))
+    discard(sets)
+    parts = _members(texts, about, prints)
+    discard(about, prints)
+    kept = kept.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+    kept = kept.groupBy(F.coalesce("component", "cls")).agg(F.min("row").alias("row"))
     kept = kept.select(F.col("row.none").alias("__none"), F.col("row.id").alias("__id"), F.col("row.key").alias("__key"))
     on = fresh(docs, "__none", "__id", "__key")
     kept = kept.toDF(*on)

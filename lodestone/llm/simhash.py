@@ -68,9 +68,12 @@ def _children(leaves: DataFrame, depth: int, step: int) -> DataFrame:
     )
 
 
-def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
+def close_pairs(keys: DataFrame, budget: int = BUDGET, root: int = 0, bits: int = BITS) -> DataFrame:
     """Pairs (a, b) of the distinct ``keys(fp)`` that differ in 1 to ``budget`` bits, with these bits' number d.
 
+    With a ``root``, the first bits of a key are the number of a tree and ``bits`` more its path there, none beyond: only keys of
+    one tree meet, and a and b are the keys without the bits beyond.
+
     The binary trie of the fingerprints is joined with itself from its root: a pair of nodes (a, b) stands for all pairs
     of leaves under them and carries d, the bits in which their paths differ. A step replaces it by the pairs of the
     nodes STEP levels below whose d is within the budget, and drops a node that would only meet itself: a subtree of
@@ -79,9 +82,10 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
     the logarithm of the number of leaves, and fall off below.
     """
     leaves, written = materialize(keys.select("fp"), "simhash-leaves"), None
-    pairs = keys.sparkSession.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("a", "b")], F.lit(0).alias("d"))
-    for depth in range(0, BITS, STEP):
-        step = min(STEP, BITS - depth)
+    roots = leaves.select(_prefix(root).alias("a")).distinct() if root else keys.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"))
+    pairs = roots.select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
+    for level, depth in enumerate(range(root, root + bits, STEP)):
+        step = min(STEP, root + bits - depth)
         near = [[e for e in range(1 << step) if e.bit_count() <= left] for left in range(budget + 1)]
         change = F.array(*map(F.lit, near[budget]))
         for d in range(1, budget + 1):
@@ -94,7 +98,7 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
         met = met.where("shiftright(there, y) & 1 = 1 and (a <> b or x < y or (x = y and shiftright(many, x) & 1 = 1))")
         below = [F.shiftleft(up, step).bitwiseOR(F.col(child).cast("long")).alias(up) for up, child in (("a", "x"), ("b", "y"))]
         pairs = met.select(*below, (F.col("d") + F.bit_count("e")).cast("int").alias("d"))
-        if depth // STEP % WRITTEN == WRITTEN - 1:
+        if level % WRITTEN == WRITTEN - 1:
             # A plan of all steps at once is more than a driver need hold, and keeps the shuffles of all steps on disk.
             before, written = written, materialize(pairs, "simhash-pairs")
             pairs = written

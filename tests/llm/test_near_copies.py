@@ -75,3 +75,21 @@ def test_repeated_rows_null_ids_and_no_rows(spark, documents):
     df = documents(rows)
     none = corpus_pipeline.near_duplicates(spark, df.where("false"), "")
     assert none.columns == df.columns and none.count() == 0
+
+
+def test_tries_of_fingerprints_give_the_candidates(spark):
+    """Near copies meet in the tries alone, before the exact join; unlike sets and crowded leaves make no pairs of all."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        texts += [" ".join(base), " ".join(base[:50] + ["other"] + base[51:])]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    crowd = 40
+    rows = [(k, k, near_copies.fingerprints(s).tolist()) for k, s in enumerate(sets)] + [(100 + k, 100 + k, [7] * near_copies.TREES) for k in range(crowd)]
+    met = near_copies._candidates(spark.createDataFrame(rows, "cls long, at long, t array<int>")).collect()
+    pairs = {(r["u"], r["v"]) for r in met}
+    assert {(k, k + 1) for k in range(0, 20, 2)} <= pairs
+    assert len([p for p in pairs if p[0] < 100]) < 20  # of 190
+    assert len([p for p in pairs if p[0] >= 100]) < crowd * near_copies.TREES
+    assert {x for p in pairs for x in p if x >= 100} == set(range(100, 100 + crowd))
