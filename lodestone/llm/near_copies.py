@@ -27,9 +27,12 @@ SKETCH = 8
 #: Fingerprints of a set, each in a trie of its own, their bits, and the bits by which those of candidates differ at most. Sets alike
 #: by 4/5 differ in 0.15 of the bits, so they are within the budget of one of the tries at least with a chance of 0.86.
 TREES, TREE_BITS, BUDGET = 32, 28, 1
+#: Bits beyond the logarithm of the rows: the leaves near a leaf by chance are then as many however many rows there are. With bits that are fixed
+#: they would grow with the rows, and all pairs of them with the square.
+SPARE_BITS, MOST_BITS = 10, 58
 #: Bits of a trie's number in its keys, and the tries that are joined at once.
 ROOT, AT_ONCE = 6, 16
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, TREES * TREE_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, TREES * MOST_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,16 +55,22 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """SimHash fingerprints of a set, TREES of TREE_BITS bits: the majority bits of its hashes, mixed anew for every 64 of them."""
-    ones = np.zeros(TREES * TREE_BITS, dtype=np.int64)
+def tree_bits(rows: int) -> int:
+    """Bits of a fingerprint among so many rows, even so that those of all tries fill whole words."""
+    bits = max(rows, 1).bit_length() + SPARE_BITS
+    return min(bits + bits % 2, MOST_BITS)
+
+
+def fingerprints(hashes: np.ndarray, bits: int = TREE_BITS) -> np.ndarray:
+    """SimHash fingerprints of a set, TREES of so many bits: the majority bits of its hashes, mixed anew for every 64 of them."""
+    ones, odd = np.zeros(TREES * bits, dtype=np.int64), _ODD[: TREES * bits // 64]
     for at in range(0, len(hashes), 255):  # as many as a byte counts
-        x = hashes[at : at + 255, None] * _ODD
+        x = hashes[at : at + 255, None] * odd
         x ^= x >> np.uint64(29)
         x *= _MIX
         x ^= x >> np.uint64(32)
         ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return (2 * ones > len(hashes)).reshape(TREES, TREE_BITS) @ (1 << np.arange(TREE_BITS))
+    return (2 * ones > len(hashes)).reshape(TREES, bits) @ (1 << np.arange(bits))
 
 
 def _lists(values: list[np.ndarray], dtype=np.int64) -> pa.ListArray:
@@ -69,15 +78,19 @@ def _lists(values: list[np.ndarray], dtype=np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, dtype=dtype)]).astype(dtype)))
 
 
-def _classes(batches):
+def _classes(bits: int):
     """The rows with the class of their set, its size, sketch and fingerprints in place of the text."""
-    for batch in slices(batches):
-        found = [shingles(text.encode()) for text in batch.column("text").to_pylist()]
-        classes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64).view(np.int64))
-        columns = [batch.column(c) for c in ("doc_id", "key", "at")]
-        sizes = pa.array([len(s) for s in found], pa.int32())
-        made = [sizes, _lists([sketch(s) for s in found]), _lists([fingerprints(s) for s in found], np.int32)]
-        yield pa.RecordBatch.from_arrays([*columns, classes, *made], ["doc_id", "key", "at", "cls", "size", "s", "t"])
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [shingles(text.encode()) for text in batch.column("text").to_pylist()]
+            classes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64).view(np.int64))
+            columns = [batch.column(c) for c in ("doc_id", "key", "at")]
+            sizes = pa.array([len(s) for s in found], pa.int32())
+            made = [sizes, _lists([sketch(s) for s in found]), _lists([fingerprints(s, bits) for s in found], np.int32 if bits < 32 else np.int64)]
+            yield pa.RecordBatch.from_arrays([*columns, classes, *made], ["doc_id", "key", "at", "cls", "size", "s", "t"])
+
+    return run
 
 
 def _sets(filled):
@@ -151,8 +164,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _APART = " + ".join(f"bit_count(a.s[{k}] ^ b.s[{k}])" for k in range(SKETCH))
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """Pairs (u, v, u_at, v_at) of the classes in prints(cls, at, t) that a trie of their fingerprints brings together.
+def _candidates(prints: DataFrame, bits: int = TREE_BITS) -> DataFrame:
+    """Pairs (u, v, u_at, v_at) of the classes in prints(cls, at, t) that a trie of their fingerprints of so many bits brings together.
 
     The tries are joined with themselves within BUDGET. A leaf has one class that stands for it, another one by chance in each
     trie: it meets those of the leaves nearby and the others of its leaf, so crowded leaves are never expanded to pairs.
@@ -160,12 +173,12 @@ def _candidates(prints: DataFrame) -> DataFrame:
     out = []
     for first in range(0, TREES, AT_ONCE):
         some = prints.select(F.struct("cls", "at").alias("one"), F.posexplode(F.slice("t", first + 1, AT_ONCE)).alias("tree", "path"))
-        fp = F.expr(f"shiftleft(cast(tree as bigint), {64 - ROOT}) | shiftleft(cast(path as bigint), {64 - ROOT - TREE_BITS})")
+        fp = F.expr(f"shiftleft(cast(tree as bigint), {64 - ROOT}) | shiftleft(cast(path as bigint), {64 - ROOT - bits})")
         some = some.select("one", fp.alias("fp"))
         heads = some.groupBy("fp").agg(F.min_by("one", F.xxhash64("one.cls", "fp")).alias("head"), F.count("*").alias("n"))
         heads = materialize(heads, "near-copies-leaves")
-        near = simhash.close_pairs(heads.select("fp"), BUDGET, ROOT, TREE_BITS)
-        key = F.shiftrightunsigned("fp", 64 - ROOT - TREE_BITS)
+        near = simhash.close_pairs(heads.select("fp"), BUDGET, ROOT, bits)
+        key = F.shiftrightunsigned("fp", 64 - ROOT - bits)
         side = lambda end, name: heads.select(key.alias(end), F.col("head").alias(name))  # noqa: B023, E731
         across = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
         within = some.join(heads.where("n > 1"), "fp").select(F.col("one").alias("x"), F.col("head").alias("y"))
@@ -180,9 +193,9 @@ def _candidates(prints: DataFrame) -> DataFrame:
     return met
 
 
-def _trie_parts(texts: DataFrame, about: DataFrame, prints: DataFrame) -> DataFrame:
+def _trie_parts(texts: DataFrame, about: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
     """(node, component) of the classes that the tries' candidates link: those of close sketches first, then of close sets."""
-    met = _candidates(prints)
+    met = _candidates(prints, bits)
     side = lambda end: about.select(F.col("cls").alias(end), F.struct("size", "s").alias({"u": "a", "v": "b"}[end]))
     near = met.join(side("u"), "u").join(side("v"), "v")
     near = near.where(f"9 * least(a.size, b.size) >= 4 * (a.size + b.size) and 9 * ({_APART}) <= a.size + b.size")
@@ -196,7 +209,7 @@ def _trie_parts(texts: DataFrame, about: DataFrame, prints: DataFrame) -> DataFr
     return parts
 
 
-def _members(texts: DataFrame, about: DataFrame, prints: DataFrame) -> DataFrame:
+def _members(texts: DataFrame, about: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
     """(node, component) of the classes in ``about``, made of ``texts``, that are close to another one.
 
     The tries' candidates come first. The links they miss are found exactly: the first common shingle of two close sets, at i
@@ -206,7 +219,7 @@ def _members(texts: DataFrame, about: DataFrame, prints: DataFrame) -> DataFrame
     own and nearest to what the group has in common, and the others by chance, new ones in each round; only pairs that no
     component holds yet are left, and all of those are compared in the end. Postings of one component alone meet nobody.
     """
-    parts, before, turn = _trie_parts(texts, about, prints), None, 0
+    parts, before, turn = _trie_parts(texts, about, prints, bits), None, 0
     posts = _postings(texts, about)
     n_posts = posts.count()
     release(posts.sparkSession)
@@ -258,13 +271,15 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     keyed = documents_of(docs).select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("at"), "text")
     texts = keyed.select("at", "text")
-    sets = materialize(keyed.mapInArrow(_classes, "doc_id long, key long, at long, cls long, size int, s array<long>, t array<int>"), "near-copies")
+    bits = tree_bits(docs.count())
+    schema = f"doc_id long, key long, at long, cls long, size int, s array<long>, t array<{'int' if bits < 32 else 'long'}>"
+    sets = materialize(keyed.mapInArrow(_classes(bits), schema), "near-copies")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
     kept = materialize(sets.groupBy("cls").agg(F.min(order).alias("row"), F.min("at").alias("at")), "near-copies-classes")
     own = sets.join(kept.select("cls", "at"), ["cls", "at"], "left_semi").dropDuplicates(["cls"])
     about, prints = (materialize(own.select("cls", "at", *columns), "near-copies-classes") for columns in (("size", "s"), ("t",)))
     discard(sets)
-    parts = _members(texts, about, prints)
+    parts = _members(texts, about, prints, bits)
     discard(about, prints)
     kept = kept.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     kept = kept.groupBy(F.coalesce("component", "cls")).agg(F.min("row").alias("row"))

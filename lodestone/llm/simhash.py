@@ -72,7 +72,8 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET, root: int = 0, bits: int
     """Pairs (a, b) of the distinct ``keys(fp)`` that differ in 1 to ``budget`` bits, with these bits' number d.
 
     With a ``root``, the first bits of a key are the number of a tree and ``bits`` more its path there, none beyond: only keys of
-    one tree meet, and a and b are the keys without the bits beyond.
+    one tree meet, and a and b are the keys without the bits beyond. The first step then takes what STEP leaves over, so the last ones, where
+    the trie is sparse, are as deep below the leaves at any number of bits.
 
     The binary trie of the fingerprints is joined with itself from its root: a pair of nodes (a, b) stands for all pairs
     of leaves under them and carries d, the bits in which their paths differ. A step replaces it by the pairs of the
@@ -84,8 +85,9 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET, root: int = 0, bits: int
     leaves, written = materialize(keys.select("fp"), "simhash-leaves"), None
     roots = leaves.select(_prefix(root).alias("a")).distinct() if root else keys.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"))
     pairs = roots.select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
-    for level, depth in enumerate(range(root, root + bits, STEP)):
-        step = min(STEP, root + bits - depth)
+    first = bits % STEP if root and bits % STEP else min(STEP, bits)
+    for level, depth in enumerate([root, *range(root + first, root + bits, STEP)]):
+        step = min(STEP, root + bits - depth) if level else first
         near = [[e for e in range(1 << step) if e.bit_count() <= left] for left in range(budget + 1)]
         change = F.array(*map(F.lit, near[budget]))
         for d in range(1, budget + 1):
